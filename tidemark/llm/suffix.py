@@ -11,8 +11,8 @@ grams need no comparison. Neighbouring windows under one gram make a *unit* of a
    under a gram with several contents, is still open.
 3. The text of open units is cut out of their documents and dealt by gram. A two-stage suffix sort
    and the common prefixes of neighbours find the equal windows among them, and all but
-   the first of each are repeats. Units under a gram with more than ``CROWD`` open units are
-   compared as single window hashes in an aggregate instead, so that no task gathers them.
+   the first of each are repeats. Where over ``CROWD`` contents share a gram, their units are first filed
+   again under longer grams, in the end under whole windows, so that no task gathers them.
 
 Order is by doc_id, then by start. Cutting a unit anywhere only sends it to step 3, so results don't
 depend on slices or partitions.
@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from .common import RangeHash, as_text, byte_view, run_numbers, shuffle_width, slices, spill
 
 LENGTH = 100
-GRAM = 20
 CROWD = 5000
 _PIECE = 1 << 21
+_NO_ID = -(1 << 63)
 _PLACE_BITS = np.uint64(28)
 
 # --- suffix sorting -------------------------------------------------------------------------
@@ -52,20 +52,20 @@ def _sort_directly(places: np.ndarray, words: np.ndarray, depth: int) -> np.ndar
     key = words[places]
     order = np.argsort(key)
     places, key = places[order], key[order]
-    tied = np.flatnonzero(np.r_[False, key[1:] == key[:-1]])
-    group = np.cumsum(np.r_[True, key[1:] != key[:-1]])
-    for at in range(8, depth, 8):
-        if not len(tied):
+    slots, mine, group = np.arange(len(places)), places, np.zeros(len(places), np.int64)
+    for at in range(8, depth + 8, 8):
+        same = np.r_[False, (key[1:] == key[:-1]) & (group[1:] == group[:-1])][: len(key)]
+        tied = same.copy()
+        tied[:-1] |= same[1:]
+        group = np.cumsum(~same)[tied]
+        slots, mine = slots[tied], mine[tied]
+        if at >= depth or not len(mine):
             break
-        mine = np.union1d(tied, tied - 1)
-        key, own = words[places[mine] + at], group[mine]
-        order = np.lexsort((key, own))
-        places[mine] = places[mine[order]]
-        key = key[order]
-        same = np.r_[False, (key[1:] == key[:-1]) & (own[1:] == own[:-1])]
-        tied = mine[same]
-        group = group.copy()
-        group[mine] = mine[np.maximum.accumulate(np.where(same, 0, np.arange(len(mine))))]
+        key = words[mine + at]
+        order = np.argsort(key)
+        order = order[np.argsort(group[order].astype(np.uint32), kind="stable")]
+        mine, key = mine[order], key[order]
+        places[slots] = mine
     return places
 
 
@@ -141,23 +141,27 @@ def _smallest(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[:n], left[width - 1 : width - 1 + n])
 
 
-def units(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def grams(length: int) -> tuple[int, int, int]:
+    """Bytes in the grams that windows are filed under at first, in crowds, and in crowds among those."""
+    return max(1, length // 5), max(1, 3 * length // 5), length
+
+
+def units(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """(document, first window, windows, gram hash, content hash) of each unit."""
     whole = np.maximum(np.diff(offsets) - length + 1, 0)
     if not whole.any():
         return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
-    gram = min(GRAM, length)
     hashes = RangeHash(data)
-    grams = hashes.every(gram)
+    every = hashes.every(gram)
     mask = (np.uint64(1) << _PLACE_BITS) - np.uint64(1)
-    best = (_smallest((grams & ~mask) | np.arange(len(grams), dtype=np.uint64), length - gram + 1) & mask).astype(np.int64)
+    best = (_smallest((every & ~mask) | np.arange(len(every), dtype=np.uint64), length - gram + 1) & mask).astype(np.int64)
     window = np.repeat(offsets[:-1], whole) + run_numbers(whole)
     owner = np.repeat(np.arange(len(whole)), whole)
     anchor = best[window]
     heads = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])])
     count = np.diff(np.r_[heads, len(window)])
     first = window[heads]
-    return owner[heads], first, count, grams[anchor[heads]], hashes.of(first, first + count + length - 1)
+    return owner[heads], first, count, every[anchor[heads]], hashes.of(first, first + count + length - 1)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], length: int):
@@ -168,31 +172,42 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int):
             yield batch, data[low:high], np.clip(offsets, low, high) - low, low
 
 
-def unit_rows(length: int) -> Callable:
+_UNIT = "gram long, content long, _id long, _tie long, start int, windows int, known boolean"
+
+
+def unit_rows(length: int, gram: int, with_text: bool = False) -> Callable:
+    """Rows (_id, _tie, base, text) to units; base is where text starts in its document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets, low in _pieces(batches, length):
-            owner, first, count, gram, content = units(data, offsets, length)
-            ids, ties = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            start = first - offsets[owner] + (low if len(offsets) == 2 else 0)
-            order = np.lexsort((start, ties[owner], ids[owner], content, gram))
+            owner, first, count, key, content = units(data, offsets, length, gram)
+            ids, ties, base = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
+            start = first - offsets[owner] + base[owner] + (low if len(offsets) == 2 else 0)
+            order = np.lexsort((start, ties[owner], ids[owner], content, key))
             again = np.zeros(len(order), bool)
-            again[order[1:]] = (gram[order[1:]] == gram[order[:-1]]) & (content[order[1:]] == content[order[:-1]])
+            again[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (content[order[1:]] == content[order[:-1]])
             # neighbouring repeats of a document become one row under a key of their own
-            head = np.flatnonzero(again & ~np.r_[False, again[:-1] & (owner[1:] == owner[:-1])])
-            tail = np.flatnonzero(again & ~np.r_[again[1:] & (owner[1:] == owner[:-1]), False])
+            head = np.flatnonzero(again & ~np.r_[False, again[:-1] & (owner[1:] == owner[:-1])][: len(again)])
+            tail = np.flatnonzero(again & ~np.r_[again[1:] & (owner[1:] == owner[:-1]), False][: len(again)])
             new = np.flatnonzero(~again)
             rows = np.r_[new, head]
             windows = np.r_[count[new], start[tail] + count[tail] - start[head]]
             known = np.r_[np.zeros(len(new), bool), np.ones(len(head), bool)]
-            key = np.where(known, content[rows] + start[rows].astype(np.uint64), gram[rows])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(content[rows].view(np.int64)), pa.array(ids[owner[rows]]), pa.array(ties[owner[rows]]), pa.array(start[rows].astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(known)],
-                ["gram", "content", "_id", "_tie", "start", "windows", "known"],
-            )
+            key = np.where(known, content[rows] + start[rows].astype(np.uint64), key[rows])
+            columns = [pa.array(key.view(np.int64)), pa.array(content[rows].view(np.int64)), pa.array(ids[owner[rows]]), pa.array(ties[owner[rows]]), pa.array(start[rows].astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(known)]
+            if with_text:
+                columns.append(_ranges(data, first[rows], np.where(known, 0, windows + length - 1)))
+            yield pa.RecordBatch.from_arrays(columns, ["gram", "content", "_id", "_tie", "start", "windows", "known", "piece"][: len(columns)])
 
     return run
 
 
+def _ranges(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Ranges of bytes as binary values."""
+    ends = np.r_[0, np.cumsum(size)].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(data[np.repeat(start, size) + run_numbers(size)])])
+
+
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.StructArray]:
     """List lengths, and all items of a list column."""
     return column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), np.empty(0), column.flatten()
@@ -207,9 +222,7 @@ def cut_units(length: int) -> Callable:
             start, windows = (items.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "windows"))
             size = windows + length - 1
             owner = np.repeat(np.arange(len(many)), many)
-            bytes_ = data[np.repeat(offsets[owner] + start, size) + run_numbers(size)]
-            ends = np.r_[0, np.cumsum(size)].astype(np.int32)
-            piece = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(bytes_)])
+            piece = _ranges(data, offsets[owner] + start, size)
             take = pa.array(owner)
             yield pa.RecordBatch.from_arrays([items.field("gram"), items.field("crowd"), batch.column(0).take(take), batch.column(1).take(take), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), piece], ["gram", "crowd", "_id", "_tie", "start", "windows", "piece"])
 
@@ -225,28 +238,26 @@ def _spans(repeat: np.ndarray, owner: np.ndarray, offset: np.ndarray, length: in
     return owner[at[heads]], offset[at[heads]], size + length - 1
 
 
-def compare_units(length: int, limit: int = 1 << 20) -> Callable:
+def compare_units(length: int, limit: int = 1 << 18) -> Callable:
     """Rows of open units sorted by gram to repeated spans (_id, _tie, start, size)."""
 
     def solve(rows: pa.RecordBatch) -> pa.RecordBatch:
+        by = [rows.column(i).to_numpy(zero_copy_only=False) for i in (3, 2, 1)]
+        rows = rows.take(pa.array(np.lexsort(by)))  # so that a window's number tells which comes first
         ids, ties, start, windows = (rows.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2, 3, 4))
         data, offsets = byte_view(rows.column(5))
-        place = np.repeat(offsets[:-1], windows) + run_numbers(windows)
+        offset = run_numbers(windows)
+        place = np.repeat(offsets[:-1], windows) + offset
         owner = np.repeat(np.arange(len(windows)), windows)
         back = np.full(len(data), -1)
         back[place] = np.arange(len(place))
         order = suffix_order(data, length)
         order = order[back[order] >= 0]
-        equal = np.r_[False, common_prefixes(data, order, length) >= length]
-        window = back[order]
-        offset = place - offsets[owner]
-        group = np.cumsum(~equal)
-        rank = np.empty(len(windows), np.int64)
-        rank[np.lexsort((start, ties, ids))] = np.arange(len(windows))
-        # first of each group by document and start: units of a document overlap, so starts are compared
-        by = np.lexsort((start[owner[window]] + offset[window], ties[owner[window]], ids[owner[window]], group))
-        repeat = np.zeros(len(place), bool)
-        repeat[window[by]] = ~np.r_[True, group[by][1:] != group[by][:-1]] if len(by) else False
+        new = np.r_[True, common_prefixes(data, order, length) < length][: len(order)]
+        heads = np.flatnonzero(new)
+        repeat = np.ones(len(place), bool)
+        if len(heads):
+            repeat[np.minimum.reduceat(back[order], heads)] = False
         unit, at, size = _spans(repeat, owner, offset, length)
         return pa.RecordBatch.from_arrays([pa.array(ids[unit]), pa.array(ties[unit]), pa.array((start[unit] + at).astype(np.int32)), pa.array(size.astype(np.int32))], ["_id", "_tie", "start", "size"])
 
@@ -272,53 +283,51 @@ def compare_units(length: int, limit: int = 1 << 20) -> Callable:
     return run
 
 
-def window_rows(length: int) -> Callable:
-    """Rows of open units to one row for each of their windows: two hashes and a place."""
+def _marked(rows: DataFrame) -> DataFrame:
+    """``rows`` that are repeats, or first of one of several contents; the others cannot repeat."""
+    ordered = Window.partitionBy("gram").orderBy("content", "_id", "_tie", "start")
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    place = F.struct("content", "_id", "_tie", "start")
+    before = F.lag("content").over(ordered)
+    out = (
+        rows.repartition(shuffle_width(rows.sparkSession), "gram")
+        .withColumn("lead", before.isNull() | (before != F.col("content")))
+        .withColumn("same_place", F.coalesce(F.lag(place).over(ordered) == place, F.lit(False)))
+        .withColumn("contents", F.sum(F.when(F.col("lead"), 1).otherwise(0)).over(whole))
+        .where("known or not lead or contents > 1")
+    )
+    repeat = F.col("known") | (~F.col("lead") & ~F.col("same_place"))
+    return out.withColumn("repeat", repeat).where("repeat or contents > 1").drop("content", "known", "lead", "same_place")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in slices(batches, "piece"):
-            windows = rows.column(4).to_numpy().astype(np.int64)
-            place = np.repeat(offsets[:-1], windows) + run_numbers(windows)
-            owner = pa.array(np.repeat(np.arange(len(windows)), windows))
-            one, two = RangeHash(data).of(place, place + length), RangeHash(data[::-1]).of(len(data) - place - length, len(data) - place)
-            start = rows.column(3).take(owner).to_numpy() + run_numbers(windows)
-            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), rows.column(1).take(owner), rows.column(2).take(owner), pa.array(start.astype(np.int32))], ["one", "two", "_id", "_tie", "start"])
 
-    return run
+def _sure(marked: DataFrame, length: int) -> DataFrame:
+    return marked.where("repeat").select("_id", "_tie", "start", (F.col("windows") + (length - 1)).alias("size"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
-    """(_id, _tie, start, size) spans of bytes to remove from ``docs`` (_id, _tie, text); they may overlap."""
+    """(_id, _tie, start, size) spans of bytes to remove from ``docs`` (_id, _tie, text); they may overlap.
+
+    The documents' texts are shuffled once to cut out open units; what joins spans to ``docs`` by
+    (_id, _tie) in the same query uses that shuffle again.
+    """
     n = shuffle_width(docs.sparkSession)
-    rows = docs.select("_id", "_tie", "text").mapInArrow(unit_rows(length), "gram long, content long, _id long, _tie long, start int, windows int, known boolean")
-    sorted_ = Window.partitionBy("gram").orderBy("content", "_id", "_tie", "start")
-    whole = sorted_.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    place = F.struct("content", "_id", "_tie", "start")
-    first = F.lag(F.col("content")).over(sorted_).isNull() | (F.lag("content").over(sorted_) != F.col("content"))
-    marked = (
-        rows.repartition(n, "gram")
-        .withColumn("lead", first)
-        .withColumn("same_place", F.coalesce(F.lag(place).over(sorted_) == place, F.lit(False)))
-        .withColumn("contents", F.sum(F.when(F.col("lead"), 1).otherwise(0)).over(whole))
-        .where("known or not lead or contents > 1")
-        .select("gram", "_id", "_tie", "start", "windows", (F.col("known") | (~F.col("lead") & ~F.col("same_place"))).alias("repeat"), "contents")
-    )
-    marked = spill(marked, "units")
-    sure = marked.where("repeat").select("_id", "_tie", "start", (F.col("windows") + (length - 1)).alias("size"))
-    still = marked.where("not repeat and contents > 1").groupBy("_id", "_tie").agg(F.collect_set(F.struct("gram", "start", "windows", (F.col("contents") > crowd).alias("crowd"))).alias("open"))
+    small, middle, full = grams(length)
+    marked = spill(_marked(docs.select("_id", "_tie", F.lit(0).alias("base"), "text").mapInArrow(unit_rows(length, small), _UNIT)), "units")
+    still = marked.where("not repeat").groupBy("_id", "_tie").agg(F.collect_set(F.struct("gram", "start", "windows", (F.col("contents") > crowd).alias("crowd"))).alias("open"))
     one = docs.dropDuplicates(["_id", "_tie"]) if "_repeats" in docs.columns else docs
     cut = still.join(one, ["_id", "_tie"]).select("_id", "_tie", "open", "text").mapInArrow(cut_units(length), "gram long, crowd boolean, _id long, _tie long, start int, windows int, piece binary")
     columns = ["gram", "_id", "_tie", "start", "windows", "piece"]
-    found = cut.where("not crowd").select(*columns).repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(compare_units(length), "_id long, _tie long, start int, size int")
-    parts = [sure, found]
-    if marked.where(f"not repeat and contents > {crowd}").limit(1).count():
-        singles = spill(cut.where("crowd").select(*columns).mapInArrow(window_rows(length), "one long, two long, _id long, _tie long, start int"), "windows")
-        least = singles.groupBy("one", "two").agg(F.min(F.struct("_id", "_tie", "start")).alias("least"), F.count("*").alias("n")).where("n > 1")
-        parts.append(singles.join(least, ["one", "two"]).where(F.struct("_id", "_tie", "start") != F.col("least")).select("_id", "_tie", "start", F.lit(length).alias("size")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    again = _marked(_filed(cut.where("crowd"), length, middle, True))
+    alone = _marked(_filed(again.where(f"not repeat and contents > {crowd}"), length, full, False))
+    close = cut.where("not crowd").select(*columns).unionByName(again.where(f"not repeat and contents <= {crowd}").select(*columns))
+    found = close.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(compare_units(length), "_id long, _tie long, start int, size int")
+    return _sure(marked, length).unionByName(found).unionByName(_sure(again, length)).unionByName(_sure(alone, length))
+
+
+def _filed(rows: DataFrame, length: int, gram: int, with_text: bool) -> DataFrame:
+    """Units of open units under longer grams."""
+    text = rows.select("_id", "_tie", F.col("start").alias("base"), F.col("piece").alias("text"))
+    return text.mapInArrow(unit_rows(length, gram, with_text), _UNIT + ", piece binary" * with_text)
 
 
 # --- applying -------------------------------------------------------------------------------
@@ -327,7 +336,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
 def keyed(docs: DataFrame) -> DataFrame:
     """``docs`` with _id and _tie, by which repeats are ordered; _tie only where a doc_id repeats."""
     repeats = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    out = docs.withColumn("text", as_text()).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
+    out = docs.withColumn("text", as_text()).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
     return out.withColumn("_tie", F.xxhash64("text")).withColumn("_repeats", F.lit(True)) if repeats else out.withColumn("_tie", F.lit(0).cast("long"))
 
 
@@ -336,6 +345,9 @@ def with_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     named = keyed(docs)
     spans = repeated_spans(named.select("_id", "_tie", "text", *(["_repeats"] if "_repeats" in named.columns else [])), length)
     lists = spans.groupBy("_id", "_tie").agg(F.collect_list(F.struct("start", "size")).alias("_spans"))
+    if docs.columns == ["doc_id", "text"]:  # then this side of the join is the one that open units were cut from
+        named = named.select("_id", "_tie", "text")
+        return named.join(lists, ["_id", "_tie"], "left").select(F.nullif("_id", F.lit(_NO_ID)).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text", "_spans")
     return named.join(lists, ["_id", "_tie"], "left").select(*docs.columns, "_spans")
 
 
