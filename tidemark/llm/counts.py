@@ -21,7 +21,7 @@ from .pieces import PieceModel, segments
 
 LIMIT = 4096
 #: Segments kept from batch to batch, and the longest kept.
-CACHED, CACHED_CHARS = 400_000, 48
+CACHED, CACHED_CHARS = 200_000, 48
 
 
 class Counter:
@@ -68,21 +68,16 @@ class Counter:
 def _rows(raw: bytes) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(PieceModel(raw))
-        known: dict[str, int] = {}
+        # the first segments seen stay: common ones come early, and the others are counted in each batch
+        kept: dict[str, int] = {}
         for batch, _, offsets in slices(batches, limit=4 << 20):
-            out = []
-            for text in batch.column(1).to_pylist():
-                total = 0
-                for word in segments(text):
-                    n = known.get(word)
-                    if n is None:
-                        n = counter.count(word)
-                        if len(word) <= CACHED_CHARS:
-                            if len(known) >= CACHED:
-                                known.clear()
-                            known[word] = n
-                    total += n
-                out.append(total)
+            parts = [segments(t) for t in batch.column(1).to_pylist()]
+            new = set().union(*parts).difference(kept)
+            fresh = {w: counter.count(w) for w in new}
+            if len(kept) < CACHED:
+                kept.update([(w, n) for w, n in fresh.items() if len(w) <= CACHED_CHARS][: CACHED - len(kept)])
+            known = kept | fresh
+            out = [sum(map(known.__getitem__, p)) for p in parts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(out, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     return run
