@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import as_text, byte_view, lookup, slices
+from .common import as_text, lookup, run_numbers, slices
 from .pieces import PieceModel, segments
 
 _NONE = np.iinfo(np.int64).max
@@ -35,6 +35,8 @@ class Encoder:
         self.of_char[[ord(p) for p in single]] = [model.ids[p] for p in single]
         self.by_rank = np.full(self.width + 1, -1, np.int64)
         self.by_rank[model.rank[model.normal]] = model.normal
+        sizes = np.array([len(t) for t in model.texts])
+        self.text, self.text_size, self.text_start = np.frombuffer(b"".join(model.texts), np.uint8), sizes, np.cumsum(sizes) - sizes
         # a piece that is part of one that ranks before it
         self.alone = np.zeros(self.width, bool)
         for (a, b), i in model.pairs.items():
@@ -101,35 +103,42 @@ class Encoder:
         ids[np.repeat(symbol < 0, counts)] = self.model.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
         return ids, np.r_[0, np.cumsum(counts)][np.searchsorted(place, edges)]
 
-    def decode(self, ids: list[int]) -> bytes:
-        """The bytes that ids stand for, with the leading space still there."""
-        texts = self.model.texts
-        return b"".join([texts[i] for i in ids])
+    def decode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes that ids stand for, leading spaces included, and the offset of each id's in them."""
+        size = self.text_size[ids]
+        bytes_ = self.text[np.repeat(self.text_start[ids], size) + run_numbers(size)]
+        return bytes_.tobytes(), np.r_[0, np.cumsum(size)]
 
 
 def _rows(raw: bytes) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(PieceModel(raw))
-        known: dict[str, tuple[bytes, bytes]] = {}
+        # the first segments seen stay: common ones come early, and the others are encoded in each batch
+        kept_ids: dict[str, bytes] = {}
+        kept_text: dict[str, bytes] = {}
         for batch, _, _ in slices(batches, limit=4 << 20):
             column = batch.schema.get_field_index("text")
             parts = [segments(t) for t in batch.column(column).to_pylist()]
-            new = list({s for p in parts for s in p} - known.keys())
-            if len(known) + len(new) > CACHED:
-                known = {}
-                new = list({s for p in parts for s in p})
+            new = list(set().union(*parts).difference(kept_ids))
+            ids_of, text_of = kept_ids, kept_text
             if new:
                 ids, edges = encoder.encode(new)
-                flat, packed = ids.tolist(), ids.astype("<i4").tobytes()
-                for word, a, b in zip(new, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                    known[word] = packed[4 * a : 4 * b], encoder.decode(flat[a:b])
-            ids_of = [b"".join([known[s][0] for s in p]) for p in parts]
-            text_of = [b"".join([known[s][1] for s in p])[1:] for p in parts]
-            edges = np.r_[0, np.cumsum([len(x) // 4 for x in ids_of])].astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.frombuffer(b"".join(ids_of), "<i4")))
-            edges = np.r_[0, np.cumsum([len(x) for x in text_of])].astype(np.int32)
-            decoded = pa.Array.from_buffers(pa.string(), len(text_of), [None, pa.py_buffer(edges), pa.py_buffer(b"".join(text_of))])
-            known = {k: v for k, v in known.items() if len(k) <= CACHED_CHARS} if any(len(k) > CACHED_CHARS for k in new) else known
+                text, ends = encoder.decode(ids)
+                packed, bounds = ids.astype("<i4").tobytes(), ends[edges].tolist()
+                edges = (4 * edges).tolist()
+                fresh_ids = dict(zip(new, [packed[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)], strict=True))
+                fresh_text = dict(zip(new, [text[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], strict=True))
+                if len(kept_ids) < CACHED:
+                    short = [w for w in new if len(w) <= CACHED_CHARS][: CACHED - len(kept_ids)]
+                    kept_ids.update((w, fresh_ids[w]) for w in short)
+                    kept_text.update((w, fresh_text[w]) for w in short)
+                ids_of, text_of = kept_ids | fresh_ids, kept_text | fresh_text
+            all_ids = [b"".join(map(ids_of.__getitem__, p)) for p in parts]
+            all_text = [b"".join(map(text_of.__getitem__, p))[1:] for p in parts]
+            edges = np.r_[0, np.cumsum([len(x) // 4 for x in all_ids])].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.frombuffer(b"".join(all_ids), "<i4")))
+            edges = np.r_[0, np.cumsum([len(x) for x in all_text])].astype(np.int32)
+            decoded = pa.Array.from_buffers(pa.string(), len(all_text), [None, pa.py_buffer(edges), pa.py_buffer(b"".join(all_text))])
             rest = [(batch.column(i), k) for i, k in enumerate(batch.schema.names) if k != "text"]
             yield pa.RecordBatch.from_arrays([*(c for c, _ in rest), lists, decoded], [*(k for _, k in rest), "ids", "decoded"])
 
