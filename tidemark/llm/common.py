@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; a longer document is a step of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Largest data that may be sent to every executor.
 BROADCAST_BYTES = 64 << 20
 
