@@ -7,7 +7,10 @@ of whole documents at a time, so that no step loops over characters.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -64,6 +67,13 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand texts to Python in batches of fewer rows than the default, unless the session has its own number."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def as_text(column: str = "text"):
     """The column with null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
@@ -82,8 +92,17 @@ def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Return what earlier tasks of this worker freed to the system: workers are used again and again."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Whole documents in steps of about ``limit`` bytes: (rows, their bytes, offsets)."""
+    give_back()
     for batch in batches:
         data, offsets = byte_view(batch.column(batch.schema.get_field_index(column)))
         low = 0
@@ -91,6 +110,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + limit, "right")) - 1)
             yield batch.slice(low, high - low), data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
             low = high
+    give_back()
 
 
 @functools.cache

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, as_text, lookup, lower_table, run_numbers, shuffle_width, slices, space_words, spill, squeeze
+from .common import RangeHash, as_text, lookup, lower_table, run_numbers, shuffle_width, slices, small_batches, space_words, spill, squeeze
 from .labelled import FIT_ROWS, sample
 
 GRAMS = (4, 5, 6, 8)
@@ -147,6 +147,7 @@ def _regress(owner: np.ndarray, feature: np.ndarray, scale: np.ndarray, y: np.nd
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = FIT_ROWS, features: int = FEATURES) -> Model:
     """Fit on at most ``most`` labelled rows and ``features`` n-grams; only these reach the driver."""
     spark = docs.sparkSession
+    small_batches(spark)
     # many small parts: n-grams are counted in maps, whose size goes with a part's texts
     rows = spill(sample(docs, labels, label, most).select("y", "text").repartition(shuffle_width(spark)), "toxicity-sample")
     totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
