@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; a longer document is a step of its own.
 SLICE_BYTES = 1 << 19
+#: Rows and bytes handed to Python at a time.
+BATCH_ROWS, BATCH_BYTES = 4000, 2 << 20
 #: Largest data that may be sent to every executor.
 BROADCAST_BYTES = 64 << 20
 
@@ -60,6 +62,7 @@ def _remove_at_exit(spark: SparkSession, path: str) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -67,11 +70,15 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hand texts to Python in batches of fewer rows than the default, unless the session has its own number."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(rows))
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Hand rows to Python in batches smaller than Spark's defaults, unless the session has its own numbers.
+
+    Both sides hold a batch whole, the JVM outside its heap.
+    """
+    for name, default, value in (("maxRecordsPerBatch", "10000", str(rows)), ("maxBytesPerBatch", "67108864b", f"{size}b")):
+        name = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(name) == default:
+            spark.conf.set(name, value)
 
 
 def as_text(column: str = "text"):
