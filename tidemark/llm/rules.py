@@ -22,8 +22,6 @@ SYMBOLS = "#*$%&|<>"
 #: Transformed statistics, with the least standard deviation that each is given.
 STATISTICS = {"word_length": 0.15, "symbol_rate": 0.05, "line_repeats": 0.15, "word_repeats": 0.15}
 SUBSET, STEPS = 0.75, 3
-#: Squared distance over which a document is rejected: far beyond a chi-square's 99.9999 % for four values.
-CUTOFF = 60.0
 #: Groups with fewer documents are estimated with the others of their language, then with all such.
 FEWEST_DOCUMENTS = 100
 _BIN, _TOP = 1 / 256, 20.0
@@ -140,6 +138,10 @@ def _chi_square_point(share: float, degrees: int) -> float:
     return low
 
 
+#: Squared distance over which a document is rejected: a chi-square's 99.9999 % for four values, 33.4.
+CUTOFF = _chi_square_point(0.999999, len(STATISTICS))
+
+
 def _grouped(rows: DataFrame) -> DataFrame:
     """``rows`` with ``grp``: language and source, or wider where a group has few documents to learn from."""
     sizes = rows.where("not base_failed").groupBy(F.col("lang").alias("k_lang"), F.col("source").alias("k_source")).count()
