@@ -312,9 +312,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
     """
     n = shuffle_width(docs.sparkSession)
     small, middle, full = grams(length)
-    marked = spill(_marked(docs.select("_id", "_tie", F.lit(0).alias("base"), "text").mapInArrow(unit_rows(length, small), _UNIT)), "units")
-    still = marked.where("not repeat").groupBy("_id", "_tie").agg(F.collect_set(F.struct("gram", "start", "windows", (F.col("contents") > crowd).alias("crowd"))).alias("open"))
     one = docs.dropDuplicates(["_id", "_tie"]) if "_repeats" in docs.columns else docs
+    marked = spill(_marked(one.select("_id", "_tie", F.lit(0).alias("base"), "text").mapInArrow(unit_rows(length, small), _UNIT)), "units")
+    still = marked.where("not repeat").groupBy("_id", "_tie").agg(F.collect_set(F.struct("gram", "start", "windows", (F.col("contents") > crowd).alias("crowd"))).alias("open"))
     cut = still.join(one, ["_id", "_tie"]).select("_id", "_tie", "open", "text").mapInArrow(cut_units(length), "gram long, crowd boolean, _id long, _tie long, start int, windows int, piece binary")
     columns = ["gram", "_id", "_tie", "start", "windows", "piece"]
     again = _marked(_filed(cut.where("crowd"), length, middle, True))
