@@ -260,6 +260,15 @@ def delta_lineage_check(spark, folder):
     return compact.lineage_problems(e.selectExpr("event_id * 10 + CASE WHEN event_id % 40 = 7 THEN 3 ELSE 0 END AS after", "event_id * 10 + 10 AS through", "CAST(event_id AS STRING) AS prior_chain", "CAST(event_id + CASE WHEN event_id % 31 = 5 THEN 9 ELSE 1 END AS STRING) AS chain"))
 
 
+_ALL_SEGMENTS = _SEGMENTS.replace(" WHERE event_id < 400", "")
+
+
+@query(f"WITH {_ALL_SEGMENTS} SELECT * FROM (SELECT after, through, CASE WHEN after >= through THEN 'empty' WHEN lag(through) OVER (ORDER BY through) <> after THEN 'not contiguous' WHEN lag(chain) OVER (ORDER BY through) <> prior_chain THEN 'other chain' END AS reason FROM seg) x WHERE reason IS NOT NULL")
+def delta_lineage_check_whole(spark, folder):
+    e = D.table(spark, folder, "events")
+    return compact.lineage_problems(e.selectExpr("event_id * 10 + CASE WHEN event_id % 40 = 7 THEN 3 ELSE 0 END AS after", "event_id * 10 + 10 AS through", "CAST(event_id AS STRING) AS prior_chain", "CAST(event_id + CASE WHEN event_id % 31 = 5 THEN 9 ELSE 1 END AS STRING) AS chain"))
+
+
 _GRAPH = "edges AS (SELECT o_custkey AS parent, o_custkey * 2 + 1 + o_orderkey % 2 AS child FROM orders WHERE o_custkey % 7 <> 0), marked AS (WITH RECURSIVE m AS (SELECT CAST(r AS BIGINT) AS id FROM range(1, 4) t(r) UNION SELECT e.child FROM m JOIN edges e ON m.id = e.parent) SELECT id FROM m), objects AS (SELECT c_custkey AS id, CAST(round(c_acctbal * 100) AS BIGINT) AS bytes FROM customer)"
 
 
@@ -309,6 +318,13 @@ def read_floor(spark, folder):
     return compact.read_floor(e.selectExpr("event_id AS step", "event_id * 3 AS frontier"), leases, 60)
 
 
+@query()
+def read_floor_whole(spark, folder):
+    e = D.table(spark, folder, "events")
+    leases = e.where("event_id % 9 = 0").selectExpr("event_id AS step", "event_id * 2 AS snapshot", "event_id + 1 + user_id % 40 AS until")
+    return compact.read_floor(e.selectExpr("event_id AS step", "event_id * 3 AS frontier"), leases, 60)
+
+
 # --- transaction log ------------------------------------------------------------------------
 
 _TX = f"WITH {D.TRANSACTIONS_SQL}, rd AS (SELECT txn, k, read_version, commit_version FROM acc UNION ALL SELECT txn, k + 1, read_version, commit_version FROM acc), wr AS (SELECT DISTINCT k, commit_version AS v FROM acc)"
@@ -389,8 +405,12 @@ def staged_prefix(spark, folder):
     return txlog.staged_prefix(held, spark.range(2).select(F.col("id").cast("int").alias("log_set")), 2)
 
 
+def _all_tickets(spark, folder):
+    return D.table(spark, folder, "events").selectExpr("CASE WHEN event_id % 90 = 8 THEN event_id - 2 ELSE event_id - 1 END AS previous_ticket", "event_id AS ticket", "event_id - event_id % 10 + (event_id * 3) % 10 AS arrival")
+
+
 def _tickets(spark, folder):
-    return D.table(spark, folder, "events").where("event_id < 2000").selectExpr("CASE WHEN event_id % 90 = 8 THEN event_id - 2 ELSE event_id - 1 END AS previous_ticket", "event_id AS ticket", "event_id - event_id % 10 + (event_id * 3) % 10 AS arrival")
+    return _all_tickets(spark, folder).where("ticket < 2000")
 
 
 _TICKETS = "tk AS (SELECT CASE WHEN event_id % 90 = 8 THEN event_id - 2 ELSE event_id - 1 END AS previous_ticket, event_id AS ticket, event_id - event_id % 10 + (event_id * 3) % 10 AS arrival FROM events WHERE event_id < 2000)"
@@ -406,6 +426,19 @@ def ticket_pending_depth(spark, folder):
     return txlog.pending_depth(_tickets(spark, folder))
 
 
+_ALL_TICKETS = _TICKETS.replace(" WHERE event_id < 2000", "")
+
+
+@query(f"WITH {_ALL_TICKETS} SELECT ticket, previous_ticket FROM (SELECT *, lag(ticket) OVER (ORDER BY ticket) AS p FROM tk) x WHERE p <> previous_ticket")
+def ticket_order_whole(spark, folder):
+    return txlog.ticket_problems(_all_tickets(spark, folder))
+
+
+@query()
+def ticket_pending_depth_whole(spark, folder):
+    return txlog.pending_depth(_all_tickets(spark, folder))
+
+
 @query(_TX + " SELECT DISTINCT r.txn, r.k FROM rd r JOIN wr w ON r.k = w.k WHERE r.txn % 3 = 0 AND w.v % 3 = 1 AND w.v > r.read_version AND w.v < r.commit_version")
 def serial_read_deps(spark, folder):
     reads, writes = _reads_writes(spark, folder)
@@ -449,8 +482,15 @@ def _routes(spark):
     return spark.createDataFrame(_ROUTES, "range_id int, start long, end long")
 
 
+_ALL_ROUTES_SQL = _ROUTES_SQL.replace(" WHERE event_id < 1000", "")
+
+
+def _all_scans(spark, folder):
+    return D.table(spark, folder, "events").selectExpr("event_id AS scan", "user_id AS s", "user_id + 1 + event_id % 30 AS e")
+
+
 def _scans(spark, folder):
-    return D.table(spark, folder, "events").where("event_id < 1000").selectExpr("event_id AS scan", "user_id AS s", "user_id + 1 + event_id % 30 AS e")
+    return _all_scans(spark, folder).where("scan < 1000")
 
 
 @query(f"WITH {_ROUTES_SQL} SELECT k, range_id FROM (SELECT DISTINCT user_id AS k FROM events) x LEFT JOIN routes ON \"start\" <= k AND k < \"end\"")
@@ -468,6 +508,16 @@ def route_gaps(spark, folder):
     return routing.uncovered(_scans(spark, folder), F.broadcast(_routes(spark)))
 
 
+@query(f"WITH {_ALL_ROUTES_SQL} SELECT scan, range_id, greatest(s, \"start\") AS s, least(e, \"end\") AS e FROM scans JOIN routes ON s < \"end\" AND \"start\" < e")
+def route_scan_split_whole(spark, folder):
+    return routing.split(_all_scans(spark, folder), F.broadcast(_routes(spark)))
+
+
+@query(f"WITH {_ALL_ROUTES_SQL} SELECT scan FROM scans WHERE e - s > coalesce((SELECT sum(least(e, \"end\") - greatest(s, \"start\")) FROM routes WHERE s < \"end\" AND \"start\" < e), 0)")
+def route_gaps_whole(spark, folder):
+    return routing.uncovered(_all_scans(spark, folder), F.broadcast(_routes(spark)))
+
+
 @query("SELECT event_id AS request, CASE WHEN event_id % 23 = 0 THEN 'WrongCell' WHEN event_id % 19 = 0 THEN 'WrongTenant' WHEN event_id % 17 = 0 THEN 'StaleEpoch' WHEN user_id < 20 OR user_id >= 100 THEN 'KeyOutsideRange' WHEN user_id + 10 > 100 THEN 'CrossesSplit' WHEN event_id % 300 > 256 THEN 'TooManyRows' ELSE 'Ok' END AS status FROM events")
 def route_fence(spark, folder):
     r = D.table(spark, folder, "events").selectExpr("event_id AS request", "CASE WHEN event_id % 23 = 0 THEN 'x' ELSE 'c' END AS cell", "CASE WHEN event_id % 19 = 0 THEN 'x' ELSE 't' END AS tenant", "CASE WHEN event_id % 17 = 0 THEN 6 ELSE 7 END AS epoch", "user_id AS s", "user_id + 10 AS e", "event_id % 300 AS row_limit")
