@@ -35,3 +35,6 @@ def test_pending_depth(spark, events):
 
 def test_later_rows_are_checked(spark):
     assert catalogue.QUERIES["delta_lineage_check_whole"](spark, FOLDER).where("after >= 4000").count() > 0
+    assert {r["verdict"] for r in catalogue.QUERIES["snap_certificates_whole"](spark, FOLDER).collect()} == {"Approve", "Retry"}
+    reads = catalogue.QUERIES["serial_read_deps_whole"](spark, FOLDER)
+    assert reads.where("txn % 3 <> 0").count() > 0

@@ -126,6 +126,13 @@ def snap_certificates(spark, folder):
     return snapshot.tokens_hold(needs, current)
 
 
+@query("WITH d AS (SELECT o_custkey % 50 AS certificate, o_orderkey % 40 AS resource, CASE WHEN o_custkey % 50 % 3 = 0 THEN o_orderkey % 40 % 3 ELSE o_orderkey % 3 END AS token, CASE WHEN o_custkey % 50 % 3 = 0 THEN o_orderkey % 7 ELSE o_orderkey % 9 END AS used FROM orders) SELECT certificate, CASE WHEN bool_and(token = resource % 3 AND used <= 6) THEN 'Approve' ELSE 'Retry' END AS verdict FROM d GROUP BY certificate")
+def snap_certificates_whole(spark, folder):
+    needs = D.table(spark, folder, "orders").selectExpr("o_custkey % 50 AS certificate", "o_orderkey % 40 AS resource", "CASE WHEN o_custkey % 50 % 3 = 0 THEN o_orderkey % 40 % 3 ELSE o_orderkey % 3 END AS token", "CASE WHEN o_custkey % 50 % 3 = 0 THEN o_orderkey % 7 ELSE o_orderkey % 9 END AS used")
+    current = spark.range(40).selectExpr("id AS resource", "id % 3 AS current_token", "6 AS most")
+    return snapshot.tokens_hold(needs, current)
+
+
 # --- multi-version reads --------------------------------------------------------------------
 
 _LOG = f"WITH {D.LOG_SQL}"
@@ -445,6 +452,11 @@ def serial_read_deps(spark, folder):
     return txlog.read_dependency_problems(reads.where("txn % 3 = 0"), writes.where("v % 3 = 1"))
 
 
+@query(_TX + " SELECT DISTINCT r.txn, r.k FROM rd r JOIN wr w ON r.k = w.k WHERE w.v > r.read_version AND w.v < r.commit_version")
+def serial_read_deps_whole(spark, folder):
+    return txlog.read_dependency_problems(*_reads_writes(spark, folder))
+
+
 @query("WITH h AS (SELECT event_id // 5 AS round, event_id + CASE WHEN event_id % 60 = 3 THEN -8 ELSE 0 END AS seq FROM events) SELECT round FROM (SELECT round, min(seq) AS least, max(max(seq)) OVER (ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM h GROUP BY round) x WHERE least <= above")
 def realtime_order(spark, folder):
     return txlog.real_time_problems(D.table(spark, folder, "events").selectExpr("event_id div 5 AS round", "event_id + CASE WHEN event_id % 60 = 3 THEN -8 ELSE 0 END AS seq"))
