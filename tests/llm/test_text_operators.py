@@ -88,41 +88,85 @@ def test_simhash(docs, none):
     assert simhash.simhash(none).count() == 0 and simhash.near_duplicates(none).count() == 0
 
 
-@pytest.mark.parametrize("large", [1, 4096])
-def test_near_links_lose_nothing(spark, large):
+def connected(values, links):
+    root = {v: v for v in values}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {v: find(v) for v in values}
+
+
+def crowded_values():
     rng = random.Random(9)
-    values = {rng.getrandbits(64) for _ in range(60)}
+    values = {rng.getrandbits(64) for _ in range(60)} | {0}
     for v in [*values][:40]:  # chains of near neighbours, and a crowd that shares 48 bits
         for _ in range(5):
             v ^= 1 << rng.randrange(64)
             values.add(v)
     values |= {(0xABCDEF012345 << 16) | rng.getrandbits(16) for _ in range(150)}
-    signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    links = simhash.near_links(spark.createDataFrame([(v,) for v in signed], "fp long"), large=large).collect()
-    assert all(((r["a"] ^ r["b"]) & (1 << 64) - 1).bit_count() <= 2 for r in links)
-    root = {v: v for v in signed}
+    return [v - (1 << 64) if v >> 63 else v for v in values]
 
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
 
-    for r in links:
-        a, b = find(r["a"]), find(r["b"])
-        root[max(a, b)] = min(a, b)
-    want = grouped({v: v & (1 << 64) - 1 for v in signed})
-    assert {v: find(v) for v in signed} == want
+@pytest.mark.parametrize("size, most", [(16, 2), (1 << 13, 2), (40, 4)])
+def test_near_links_lose_nothing(spark, size, most):
+    signed = crowded_values()
+    links = simhash.near_links(spark.createDataFrame([(v,) for v in signed], "fp long"), most, size).collect()
+    assert all(((r["a"] ^ r["b"]) & (1 << 64) - 1).bit_count() <= most for r in links)
+    want = grouped({v: v & (1 << 64) - 1 for v in signed}, most)
+    assert connected(signed, [(r["a"], r["b"]) for r in links]) == want
+    if size > len(signed):
+        assert len(links) == len(signed) - len(set(want.values()))
 
 
 def test_gray_index_finds_all():
     rng = np.random.default_rng(3)
     values = np.unique(np.r_[rng.integers(0, 1 << 63, 500).astype(np.uint64), np.uint64(7) ^ (np.uint64(1) << rng.integers(0, 64, 80).astype(np.uint64))])
-    index = simhash.GrayIndex(values)
-    q, f = index.within(values, 2)
+    values = values[np.argsort(simhash.gray_rank(values))]
+    found = [(i, j) for q, f in simhash.GrayIndex(values).within(values, 2) for i, j in zip(q.tolist(), f.tolist(), strict=True)]
     want = {(i, j) for i in range(len(values)) for j in np.flatnonzero(np.bitwise_count(values[i] ^ values) <= 2)}
-    assert set(zip(q.tolist(), f.tolist(), strict=True)) == want and len(q) == len(want)
+    assert set(found) == want and len(found) == len(want)
     ranks = simhash.gray_rank(np.arange(8, dtype=np.uint64) ^ (np.arange(8, dtype=np.uint64) >> np.uint64(1)))
     assert ranks.tolist() == list(range(8))
+    assert list(simhash.GrayIndex(values[:0]).within(values, 2)) == []
+
+
+def test_all_links_come_from_the_index(monkeypatch):
+    """Two ranges of sf0.1's fingerprints: what the index is asked gives every link, and nothing else gives any."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"]).combine_chunks().to_batches()
+    prints = np.unique(np.concatenate([b.column(1).to_numpy().view(np.uint64) for b in simhash.fingerprints(iter(texts))]))
+    prints = prints[np.argsort(simhash.gray_rank(prints))]
+    half = len(prints) // 2
+    ranges = np.repeat([0, 1], [half, len(prints) - half])
+    ends = [0, half]
+    upper = tuple(np.array(x) for x in ([0, 1], np.bitwise_and.reduceat(prints, ends), np.bitwise_or.reduceat(prints, ends)))
+    rows = pa.RecordBatch.from_arrays([pa.array(ranges.astype(np.int32)), pa.array(prints.view(np.int64))], ["range", "fp"])
+    asked, within = [], simhash.GrayIndex.within
+
+    def counted(self, queries, most, skip=None):
+        for q, f in within(self, queries, most, skip):
+            asked.append(len(q))
+            yield q, f
+
+    def links():
+        dealt = pa.Table.from_batches(list(simhash._visits((*upper, 2))(iter([rows])))).sort_by([("range", "ascending"), ("guest", "ascending")])
+        return [(r["a"], r["b"]) for b in simhash._range_links(2)(iter(dealt.combine_chunks().to_batches())) for r in b.to_pylist()]
+
+    monkeypatch.setattr(simhash.GrayIndex, "within", counted)
+    found, signed = links(), prints.view(np.int64).tolist()
+    assert 0 < len(found) <= sum(asked)
+    pairs = [(signed[i], signed[i + 1 + j]) for i in range(len(prints)) for j in np.flatnonzero(np.bitwise_count(prints[i] ^ prints[i + 1 :]) <= 2)]
+    assert len(pairs) > 3 and connected(signed, found) == connected(signed, pairs)
+    monkeypatch.setattr(simhash.GrayIndex, "within", lambda self, *_: iter(()))
+    assert links() == []
 
 
 # --- suffix arrays

@@ -13,7 +13,7 @@ import functools
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +24,6 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 19
 #: Rows and bytes handed to Python at a time.
 BATCH_ROWS, BATCH_BYTES = 4000, 2 << 20
-#: Largest data that may be sent to every executor.
-BROADCAST_BYTES = 64 << 20
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -81,6 +79,24 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH
             spark.conf.set(name, value)
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, or with underscores until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+class Shared:
+    """A batch function made on the executor from a broadcast value."""
+
+    def __init__(self, shared, make: Callable) -> None:
+        self.shared, self.make = shared, make
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return self.make(self.shared.value)(batches)
+
+
 def as_text(column: str = "text"):
     """The column with null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import spill
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node in ``links`` (a, b), root being the smallest node reachable.
 
     Alternating large-star and small-star steps: each keeps connectivity, and the number of rounds
@@ -17,7 +17,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     it is an ordinary sort-merge join, so a node with very many links is split at run time.
     """
     edges = spill(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    for _ in range(most_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).where("a <> b").distinct()
@@ -29,6 +29,4 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         edges = after
         if more.isEmpty():
             break
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

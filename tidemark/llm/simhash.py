@@ -1,16 +1,17 @@
 """SimHash near-duplicates, searched with a hierarchical index in Gray order.
 
-Every pair of fingerprints that differ in at most ``MOST_BITS`` of 64 bits agrees on at least two
-of four 16-bit quarters, so the six pairs of quarters deal fingerprints to groups that hold every
-link between them. Groups over ``LARGE`` are dealt again by a third quarter's agreement
-(see ``_finer``), which bounds a group by 65,536 fingerprints. In each group an index sorted by Gray
-rank finds the links, and a spanning chain of each cluster, not all its pairs, goes on.
+All distinct fingerprints make one index. Sorted by Gray rank they are cut into ranges, the index's
+subtrees, each of which a task builds by itself. The nodes above are a small table: one mask and one
+pattern of shared bits for each range, at most ``MOST_RANGES`` of them. Every fingerprint goes down
+that table, and on to each later range whose accumulated differences it does not exceed; there, and in its own range, it
+goes down the subtree. All links come from these two walks. A task keeps the links that span its
+clusters, not all pairs, and leaves out groups that a fingerprint is already connected with, so a
+crowd of near-equal fingerprints costs no square.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,15 +19,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, lower_table, run_numbers, shuffle_width, slices, space_words, spill, squeeze
+from .common import Shared, as_text, free_name, lower_table, run_numbers, shuffle_width, slices, space_words, spill, squeeze
 from .components import components
 
 MOST_BITS = 2
 SHINGLE = 3
 SEED = 42
-LARGE = 4096
-QUARTERS = tuple(combinations(range(4), 2))
-_LEAF = 16
+#: Fingerprints in a range, and the most ranges; beyond these ranges grow.
+RANGE, MOST_RANGES = 1 << 13, 1 << 16
+FAN_OUT = 8
+_FRONTIER = 1 << 20
 
 
 def fingerprints(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,154 +70,209 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Hamming search: leaves of consecutive Gray ranks, under nodes that hold their shared bits.
+    """Hamming search over leaves in Gray order, under nodes that hold their shared bits.
 
-    A node keeps a mask of the bits on which all below it agree and did not agree higher up, and
-    their pattern. Going down, a query's differences under the masks add up, and a whole group is
-    left out once they pass the limit.
+    A leaf is a value, or a range of values known by the bits that all of it have (``every``) and
+    that any of it has (``some``). A node keeps a mask of the bits on which all below it agree and did not agree
+    higher up, and their pattern. Going down, a query's differences under the masks add up,
+    and a whole group is left out once they pass the limit.
     """
 
-    def __init__(self, values: np.ndarray, fan_out: int = _LEAF) -> None:
-        self.order = np.argsort(gray_rank(values), kind="stable")
-        self.values = values[self.order].astype(np.uint64)
-        self.fan_out = fan_out
+    def __init__(self, every: np.ndarray, some: np.ndarray | None = None, fan_out: int = FAN_OUT) -> None:
+        some = every if some is None else some
+        self.fan_out, self.size = fan_out, len(every)
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-        every, some = self.values, self.values
-        while len(every) > 1:
+        agreed = []
+        while len(every):
+            agreed.append((~(every ^ some), every))
+            if len(every) == 1:
+                break
             heads = np.arange(0, len(every), fan_out)
             every, some = np.bitwise_and.reduceat(every, heads), np.bitwise_or.reduceat(some, heads)
-            self.levels.append((~(every ^ some), every))
-        self.levels.reverse()
-
-    def within(self, queries: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """All (query number, value number) pairs that differ in at most ``most`` bits."""
-        query = np.arange(len(queries))
-        node = np.zeros(len(queries), np.int64)
-        spent = np.zeros(len(queries), np.int64)
         above = np.zeros(1, np.uint64)
-        for depth, (mask, pattern) in enumerate(self.levels):
-            if depth:
-                query, node, spent, parent = self._down(query, node, spent, len(mask))
-            else:
-                parent = node
-            own = mask[node] & ~above[parent]
-            spent = spent + np.bitwise_count((queries[query] ^ pattern[node]) & own)
+        for mask, pattern in reversed(agreed):
+            parent = np.arange(len(mask)) // fan_out if self.levels else np.zeros(1, np.int64)
+            self.levels.append((mask & ~above[parent], pattern))
+            above = mask
+
+    def within(self, queries: np.ndarray, most: int, skip: Callable | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query number, leaf number) pairs whose accumulated differences are at most ``most``, in parts.
+
+        ``skip(level, node, query)`` may leave out more. The front of a part is halved where it grows large,
+        so memory is bounded.
+        """
+        if not self.size or not len(queries):
+            return
+        open_ = [(0, np.arange(len(queries)), np.zeros(len(queries), np.int64), np.zeros(len(queries), np.int64))]
+        while open_:
+            level, query, node, spent = open_.pop()
+            if len(query) > _FRONTIER:
+                half = len(query) // 2
+                open_ += [(level, query[half:], node[half:], spent[half:]), (level, query[:half], node[:half], spent[:half])]
+                continue
+            mask, pattern = self.levels[level]
+            spent = spent + np.bitwise_count((queries[query] ^ pattern[node]) & mask[node])
             kept = spent <= most
-            query, node, spent, above = query[kept], node[kept], spent[kept], mask
-        if self.levels:
-            query, node, spent, _ = self._down(query, node, spent, len(self.values))
-        hit = np.bitwise_count(queries[query] ^ self.values[node]) <= most
-        return query[hit], self.order[node[hit]]
-
-    def _down(self, query: np.ndarray, node: np.ndarray, spent: np.ndarray, size: int):
-        low = node * self.fan_out
-        many = np.minimum(low + self.fan_out, size) - low
-        return np.repeat(query, many), np.repeat(low, many) + run_numbers(many), np.repeat(spent, many), np.repeat(node, many)
-
-
-def _clusters(values: np.ndarray, most: int, step: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links that span each cluster of one group: at most one fewer than it has members."""
-    index, root = GrayIndex(values), np.arange(len(values))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    a, b = [], []
-    for low in range(0, len(values), step):
-        query, found = index.within(values[low : low + step], most)
-        query = query + low
-        query, found = query[query < found], found[query < found]
-        for i, j in zip(query.tolist(), found.tolist(), strict=True):
-            p, q = find(i), find(j)
-            if p != q:
-                root[max(p, q)] = min(p, q)
-                a.append(i)
-                b.append(j)
-    yield np.array(a, np.int64), np.array(b, np.int64)
-
-
-def links_in_groups(most: int = MOST_BITS):
-    """Over rows (key, fp) sorted by key: links (a, b) that span the clusters of each group."""
+            if skip is not None:
+                kept &= ~skip(level, node, query)
+            query, node, spent = query[kept], node[kept], spent[kept]
+            if level + 1 == len(self.levels):
+                yield query, node
+                continue
+            low = node * self.fan_out
+            many = np.minimum(low + self.fan_out, len(self.levels[level + 1][0])) - low
+            open_.append((level + 1, np.repeat(query, many), np.repeat(low, many) + run_numbers(many), np.repeat(spent, many)))
+
+
+class _Subtree:
+    """The index of one range, and which of its values are connected so far."""
+
+    def __init__(self, values: np.ndarray, most: int) -> None:
+        self.values, self.most = values[np.argsort(gray_rank(values), kind="stable")], most
+        self.index = GrayIndex(self.values)
+        self.root = np.arange(len(values))
+        self._relabel()
+
+    def _relabel(self) -> None:
+        """Per node the cluster that all below it are in, or -1."""
+        low = high = self.root[: len(self.values)]
+        labels = [low]
+        while len(low) > 1:
+            heads = np.arange(0, len(low), self.index.fan_out)
+            low, high = np.minimum.reduceat(low, heads), np.maximum.reduceat(high, heads)
+            labels.append(np.where(low == high, low, -1))
+        self.labels = labels[::-1]
+
+    def own_links(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        at, step = 0, 64
+        while at < len(self.values):
+            yield from self._links(np.arange(at, min(at + step, len(self.values))), self.values[at : at + step])
+            at, step = at + step, min(1024, 2 * step)
+
+    def visit(self, queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Links with values of other ranges; those are forgotten afterwards, what they connect is not."""
+        n = len(self.values)
+        for at in range(0, len(queries), 1024):
+            part = queries[at : at + 1024]
+            self.root = np.r_[self.root, n + np.arange(len(part))]
+            yield from self._links(n + np.arange(len(part)), part)
+            # a cluster is named by its smallest member, so no value of this range is named by a visitor
+            self.root = self.root[:n]
+
+    def _links(self, place: np.ndarray, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        def connected(level: int, node: np.ndarray, query: np.ndarray) -> np.ndarray:
+            return self.labels[level][node] == self.root[place[query]]
+
+        for query, found in self.index.within(part, self.most, connected):
+            i, j = self._unite(place[query], found)
+            if len(i):
+                self._relabel()
+                yield part[i - place[0]], self.values[j]
+
+    def _unite(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Connects i with j; the pairs that were needed for it."""
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        while True:
+            p, q = self.root[i], self.root[j]
+            new = p != q
+            if not new.any():
+                return np.concatenate(a), np.concatenate(b)
+            i, j, p, q = i[new], j[new], p[new], q[new]
+            hung, first = np.unique(np.maximum(p, q), return_index=True)
+            self.root[hung] = np.minimum(p, q)[first]
+            a.append(i[first])
+            b.append(j[first])
+            while True:
+                again = self.root[self.root]
+                if (again == self.root).all():
+                    break
+                self.root = again
+
+
+# --- the index over a cluster of machines ----------------------------------------------------
+
+
+def _visits(upper: tuple[np.ndarray, np.ndarray, np.ndarray, int]) -> Callable:
+    """Rows (range, fp) to (range, guest, fp): itself, and as a guest in the later ranges it may have links in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fp = np.empty(0, np.int64), np.empty(0, np.uint64)
-
-        def out(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            a, b = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
-            heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            sizes = np.diff(np.r_[heads, len(key)])
-            small = np.repeat((sizes > 1) & (sizes <= _LEAF), sizes)  # one leaf: every member is compared
-            x, owner = fp[small], key[small]
-            for shift in range(1, _LEAF):
-                near = (owner[shift:] == owner[:-shift]) & (np.bitwise_count(x[shift:] ^ x[:-shift]) <= most)
-                a.append(x[shift:][near])
-                b.append(x[:-shift][near])
-            for head, size in zip(heads[sizes > _LEAF].tolist(), sizes[sizes > _LEAF].tolist(), strict=True):
-                group = fp[head : head + size]
-                for i, j in _clusters(group, most):
-                    a.append(group[i])
-                    b.append(group[j])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a).view(np.int64)), pa.array(np.concatenate(b).view(np.int64))], ["a", "b"])
-
+        numbers, every, some, most = upper
+        index = GrayIndex(every, some)
         for batch in batches:
-            key = np.r_[key, batch.column(0).to_numpy()]
-            fp = np.r_[fp, batch.column(1).to_numpy().view(np.uint64)]
-            last = int(np.searchsorted(key == key[-1], True)) if len(key) else 0
-            if last:
-                yield out(key[:last], fp[:last])
-                key, fp = key[last:], fp[last:]
-        if len(key):
-            yield out(key, fp)
+            home, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            to, who = [home], [np.arange(len(fp))]
+            for query, leaf in index.within(fp, most):
+                later = numbers[leaf] > home[query]
+                to.append(numbers[leaf[later]])
+                who.append(query[later])
+            who = np.concatenate(who)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(to).astype(np.int32)), pa.array(np.arange(len(who)) >= len(fp)), pa.array(fp[who].view(np.int64))], ["range", "guest", "fp"])
 
     return run
 
 
-def _quarter(number: int):
-    return F.shiftrightunsigned(F.col("fp"), 16 * number).bitwiseAND(F.lit(0xFFFF))
+def _range_links(most: int) -> Callable:
+    """Over rows (range, guest, fp) sorted by range and guest: links (a, b) found in the subtrees."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, members, tree = None, [], None
 
-def near_links(fps: DataFrame, most: int = MOST_BITS, large: int = LARGE) -> DataFrame:
-    """Links (a, b) between distinct fingerprints ``fp`` that keep every cluster connected."""
-    if not 0 <= most <= 2:
-        raise ValueError("four quarters serve up to two differing bits")
-    keys = [F.struct(F.lit(c).alias("pair"), (_quarter(i) * 65536 + _quarter(j)).alias("bits")) for c, (i, j) in enumerate(QUARTERS)]
-    dealt = fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", (F.col("k.pair").cast("long") * (1 << 32) + F.col("k.bits")).alias("key"))
-    sizes = dealt.groupBy("key").count().where("count > 1")
-    dealt = dealt.join(sizes, "key")
-    split = dealt.where(F.col("count") > large).select("fp", F.explode(_finer()).alias("key"))
-    dealt = dealt.where(F.col("count") <= large).select("key", "fp").unionByName(split.select("key", "fp"))
-    n = shuffle_width(fps.sparkSession)
-    return dealt.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(links_in_groups(most), "a long, b long")
+        def out(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            for a, b in found:
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
+        def planted() -> _Subtree:
+            return _Subtree(np.concatenate(members) if members else np.empty(0, np.uint64), most)
 
-def _finer():
-    """Keys of 48 bits for a large group.
+        for batch in batches:
+            where, guest, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy().view(np.uint64)
+            cuts = np.flatnonzero(np.r_[True, (where[1:] != where[:-1]) | (guest[1:] != guest[:-1])]) if len(where) else []
+            for low, high in zip(cuts, [*cuts[1:], len(where)], strict=True):
+                if where[low] != now:
+                    if now is not None and tree is None:
+                        yield from out(planted().own_links())
+                    now, members, tree = where[low], [], None
+                if not guest[low]:
+                    members.append(fp[low:high])
+                    continue
+                if tree is None:
+                    tree = planted()
+                    yield from out(tree.own_links())
+                yield from out(tree.visit(fp[low:high]))
+        if now is not None and tree is None:
+            yield from out(planted().own_links())
 
-    With two quarters equal, the other 32 bits differ in at most two; cut into four bytes, two of
-    them agree. So each pair of quarters and pair of bytes is a key that every link shares.
-    """
-    out = []
-    for c, (i, j) in enumerate(QUARTERS):
-        rest = [q for q in range(4) if q not in (i, j)]
-        octets = [F.shiftrightunsigned(F.col("fp"), 16 * q + 8 * half).bitwiseAND(F.lit(0xFF)) for q in rest for half in (0, 1)]
-        own = F.col("key") == F.lit(c) * F.lit(1 << 32) + _quarter(i) * 65536 + _quarter(j)
-        for d, (x, y) in enumerate(combinations(range(4), 2)):
-            out.append(F.when(own, (F.lit(8 + 6 * c + d).cast("long") * (1 << 48)) + (_quarter(i) * 65536 + _quarter(j)) * 65536 + octets[x] * 256 + octets[y]))
-    return F.filter(F.array(*out), lambda k: k.isNotNull())
+    return run
+
+
+def near_links(fps: DataFrame, most: int = MOST_BITS, range_size: int = RANGE) -> DataFrame:
+    """Links (a, b) between distinct fingerprints ``fp`` that keep every cluster connected, for any ``most``."""
+    spark, n = fps.sparkSession, shuffle_width(fps.sparkSession)
+    ranges = min(MOST_RANGES, max(1, -(-fps.count() // range_size)))
+    rank = F.col("fp")
+    for shift in (1, 2, 4, 8, 16, 32):
+        rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, shift))
+    # the rank as a signed number of the same order
+    ordered = fps.select("fp", rank.bitwiseXOR(F.lit(-(1 << 63))).alias("rank")).repartitionByRange(ranges, "rank")
+    ranged = spill(ordered.select(F.spark_partition_id().alias("range"), "fp"), "simhash-ranges")
+    upper = sorted(tuple(r) for r in ranged.groupBy("range").agg(F.bit_and("fp"), F.bit_or("fp")).collect())  # at most MOST_RANGES rows
+    numbers, every, some = (np.array([r[k] for r in upper], np.int64) for k in range(3))
+    shared = spark.sparkContext.broadcast((numbers, every.view(np.uint64), some.view(np.uint64), most))
+    dealt = ranged.mapInArrow(Shared(shared, _visits), "range int, guest boolean, fp long")
+    return dealt.repartition(n, "range").sortWithinPartitions("range", "guest").mapInArrow(_range_links(most), "a long, b long")
 
 
 def simhash(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
     """(doc_id, fp long, component_id) for each row of ``docs`` (doc_id, text, ...).
 
-    ``component_id`` is the smallest doc_id reachable over links of at most ``most`` bits. Null and
-    empty texts, and those of white space, have fingerprint zero and link like any other. Rows
-    with equal texts share a component; repeated rows come back as often. A null doc_id counts
-    in no minimum, and its component is null only if every member's is. Other columns are left out.
+    ``component_id`` is the smallest doc_id reachable over links of at most ``most`` bits; doc_id may be of any type
+    that has an order. Null and empty texts, and those of white space, have fingerprint zero and link like
+    any other. Rows with equal texts share a component; repeated rows come back as often. A null doc_id counts
+    in no minimum, and its component is null only if every member's is. Other columns, whatever their names,
+    are left out. A very long text is a step of its own, in memory of some ten times its size.
     """
-    fps = spill(docs.select("doc_id", as_text().alias("text")).mapInArrow(fingerprints, "doc_id long, fp long"), "simhash")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    fps = spill(docs.select("doc_id", as_text().alias("text")).mapInArrow(fingerprints, f"doc_id {kind}, fp long"), "simhash")
     distinct = spill(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
     whole = components(near_links(distinct.select("fp"), most))
     member = distinct.join(whole.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
@@ -227,9 +284,11 @@ def simhash(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
 def near_duplicates(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
     """The rows of ``docs``, one of each component: the one with the smallest doc_id.
 
-    All columns stay. Of rows that repeat a doc_id one stays; a null doc_id stays only in a
-    component that has no other.
+    All columns stay. Of rows that repeat a doc_id the one whose text is smallest, null as empty, stays; if
+    texts are equal too, so are the rows as far as this operator goes, and any stays. A null doc_id stays
+    only in a component that has no other.
     """
-    found = simhash(docs, most).select("component_id").distinct().withColumnRenamed("component_id", "_keep")
-    once = docs.dropDuplicates(["doc_id"]) if docs.groupBy("doc_id").count().where("count > 1").limit(1).count() else docs
-    return once.join(found, once["doc_id"].eqNullSafe(found["_keep"]), "left_semi")
+    keep = free_name(docs, "keep")
+    found = simhash(docs, most).select("component_id").distinct().withColumnRenamed("component_id", keep)
+    stay = docs.join(found, docs["doc_id"].eqNullSafe(found[keep]), "left_semi")
+    return stay.groupBy(F.col("doc_id")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), as_text()).alias(keep)).select(f"{keep}.*")
