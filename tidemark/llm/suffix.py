@@ -1,21 +1,19 @@
 """Removal of repeated passages: each byte of a ``length``-byte string that also starts earlier.
 
-Every window of ``length`` bytes is filed under the smallest hash among its ``GRAM``-byte grams, the
-leftmost if several are equal. Equal windows have equal smallest grams, so windows under different
-grams need no comparison. Neighbouring windows under one gram make a *unit* of about forty windows:
-
-1. Each slice of documents gives its units as rows of hashes, no text. Within a slice only the
-   first of equal units goes on; the others are known to be repeats.
-2. One shuffle by gram. Of equal units all but the first are repeats as a whole. A unit alone
-   under its gram cannot repeat and is dropped. What remains, the first of each content
-   under a gram with several contents, is still open.
-3. The text of open units is cut out of their documents and dealt by gram. A two-stage suffix sort
-   and the common prefixes of neighbours find the equal windows among them, and all but
-   the first of each are repeats. Where over ``CROWD`` contents share a gram, their units are first filed
-   again under longer grams, in the end under whole windows, so that no task gathers them.
-
-Order is by doc_id, then by start. Cutting a unit anywhere only sends it to step 3, so results don't
-depend on slices or partitions.
+Every window of ``length`` bytes is filed under the smallest hash among its grams, the leftmost if several are
+equal. Equal windows have equal smallest grams, so windows under different grams need no comparison.
+Neighbouring windows under one gram make a *unit* of about forty windows. Hashes only file and leave out; which
+windows repeat is read from the sorted suffixes:
+
+1. Each slice of documents gives its units as rows of numbers, no text. A unit alone under its gram cannot repeat
+   and goes no further: grams are counted, and units joined with the counts over one.
+2. The text of the other units is cut out of their documents and dealt by gram. A two-stage suffix sort and the
+   common prefixes of neighbours find equal windows, and all but the first of each are repeats.
+3. A gram with over ``CROWD`` units is dealt in that many parts. Each part finds its repeats as above, and the windows
+   that are first in their part are filed again under longer grams, in the end under whole windows, until
+   no gram is crowded. So no task gathers a crowd, whether its texts are equal or not.
+
+Order is by doc_id, then by start. Results don't depend on slices or partitions.
 """
 
 from __future__ import annotations
@@ -28,12 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import RangeHash, as_text, byte_view, run_numbers, shuffle_width, slices, spill
+from .common import RangeHash, as_text, byte_view, free_name, run_numbers, shuffle_width, slices, spill
 
 LENGTH = 100
-CROWD = 5000
-_PIECE = 1 << 21
-_NO_ID = -(1 << 63)
+CROWD = 2000
+_PIECE, _CUT, _SORTED = 1 << 21, 1 << 19, 1 << 19
 _PLACE_BITS = np.uint64(28)
 
 # --- suffix sorting -------------------------------------------------------------------------
@@ -48,24 +45,29 @@ def _words(data: np.ndarray) -> np.ndarray:
 
 
 def _sort_directly(places: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
-    """The places in the order of their suffixes' first ``depth`` bytes; eight at a time, ties only."""
+    """The places in the order of their suffixes' first ``depth`` bytes; eight at a time, and only ties that differ."""
     key = words[places]
     order = np.argsort(key)
     places, key = places[order], key[order]
-    slots, mine, group = np.arange(len(places)), places, np.zeros(len(places), np.int64)
+    head = np.r_[True, key[1:] != key[:-1]][: len(key)]
+    slots, mine = np.arange(len(places)), places
     for at in range(8, depth + 8, 8):
-        same = np.r_[False, (key[1:] == key[:-1]) & (group[1:] == group[:-1])][: len(key)]
-        tied = same.copy()
-        tied[:-1] |= same[1:]
-        group = np.cumsum(~same)[tied]
-        slots, mine = slots[tied], mine[tied]
+        tied = ~(head & np.r_[head[1:], True][: len(head)])
+        slots, mine, head = slots[tied], mine[tied], head[tied]
         if at >= depth or not len(mine):
             break
-        key = words[mine + at]
-        order = np.argsort(key)
-        order = order[np.argsort(group[order].astype(np.uint32), kind="stable")]
-        mine, key = mine[order], key[order]
-        places[slots] = mine
+        key, heads, group = words[mine + at], np.flatnonzero(head), np.cumsum(head) - 1
+        odd = np.zeros(len(heads), bool)
+        odd[group[key != key[heads][group]]] = True
+        if odd.any():
+            unsorted = np.flatnonzero(odd[group])
+            mixed = (np.cumsum(odd) - 1)[group[unsorted]]
+            order = np.argsort(key[unsorted])
+            mixed = mixed[order]
+            order = order[np.argsort(mixed.astype(np.uint16) if odd.sum() < 1 << 16 else mixed, kind="stable")]
+            mine[unsorted], key[unsorted] = mine[unsorted[order]], key[unsorted[order]]
+            places[slots] = mine
+            head[1:] |= key[1:] != key[:-1]
     return places
 
 
@@ -117,15 +119,17 @@ def suffix_order(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
 
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, most: int = LENGTH) -> np.ndarray:
-    """For each of ``order`` but the first, how many bytes its suffix shares with the one before."""
+    """For each of ``order`` but the first, how many bytes, ``most`` at most, its suffix shares with the one before."""
     words = _words(np.r_[data, np.zeros(most + 16, np.uint8)])
-    out = np.zeros(max(0, len(order) - 1), np.int64)
-    live = np.arange(len(out))
+    out = np.full(max(0, len(order) - 1), most)
+    live, a, b = np.arange(len(out)), order[:-1], order[1:]
     for at in range(0, most, 8):
-        differ = words[order[live] + at] ^ words[order[live + 1] + at]
-        for shift in range(8):
-            out[live] += differ < np.uint64(1 << (8 * shift)) if shift else differ == 0
-        live = live[differ == 0]
+        differ = words[a + at] ^ words[b + at]
+        odd = differ != 0
+        if odd.any():
+            value = differ[odd]
+            out[live[odd]] = at + sum((value < np.uint64(1 << (8 * shift))).astype(np.int64) for shift in range(1, 8))
+            live, a, b = live[~odd], a[~odd], b[~odd]
     return np.minimum(out, most)
 
 
@@ -147,21 +151,18 @@ def grams(length: int) -> tuple[int, int, int]:
 
 
 def units(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(document, first window, windows, gram hash, content hash) of each unit."""
+    """(document, first window, windows, gram hash) of each unit."""
     whole = np.maximum(np.diff(offsets) - length + 1, 0)
     if not whole.any():
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
-    hashes = RangeHash(data)
-    every = hashes.every(gram)
+        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
+    every = RangeHash(data).every(gram)
     mask = (np.uint64(1) << _PLACE_BITS) - np.uint64(1)
     best = (_smallest((every & ~mask) | np.arange(len(every), dtype=np.uint64), length - gram + 1) & mask).astype(np.int64)
     window = np.repeat(offsets[:-1], whole) + run_numbers(whole)
     owner = np.repeat(np.arange(len(whole)), whole)
     anchor = best[window]
     heads = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])])
-    count = np.diff(np.r_[heads, len(window)])
-    first = window[heads]
-    return owner[heads], first, count, every[anchor[heads]], hashes.of(first, first + count + length - 1)
+    return owner[heads], window[heads], np.diff(np.r_[heads, len(window)]), every[anchor[heads]]
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], length: int):
@@ -172,32 +173,18 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int):
             yield batch, data[low:high], np.clip(offsets, low, high) - low, low
 
 
-_UNIT = "gram long, content long, _id long, _tie long, start int, windows int, known boolean"
+_UNIT = "gram long, _id long, _tie long, base int, start int, windows int"
 
 
-def unit_rows(length: int, gram: int, with_text: bool = False) -> Callable:
-    """Rows (_id, _tie, base, text) to units; base is where text starts in its document."""
+def unit_rows(length: int, gram: int) -> Callable:
+    """Rows (_id, _tie, base, text) to units; start counts from base, where text starts in its document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets, low in _pieces(batches, length):
-            owner, first, count, key, content = units(data, offsets, length, gram)
-            ids, ties, base = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
-            start = first - offsets[owner] + base[owner] + (low if len(offsets) == 2 else 0)
-            order = np.lexsort((start, ties[owner], ids[owner], content, key))
-            again = np.zeros(len(order), bool)
-            again[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (content[order[1:]] == content[order[:-1]])
-            # neighbouring repeats of a document become one row under a key of their own
-            head = np.flatnonzero(again & ~np.r_[False, again[:-1] & (owner[1:] == owner[:-1])][: len(again)])
-            tail = np.flatnonzero(again & ~np.r_[again[1:] & (owner[1:] == owner[:-1]), False][: len(again)])
-            new = np.flatnonzero(~again)
-            rows = np.r_[new, head]
-            windows = np.r_[count[new], start[tail] + count[tail] - start[head]]
-            known = np.r_[np.zeros(len(new), bool), np.ones(len(head), bool)]
-            key = np.where(known, content[rows] + start[rows].astype(np.uint64), key[rows])
-            columns = [pa.array(key.view(np.int64)), pa.array(content[rows].view(np.int64)), pa.array(ids[owner[rows]]), pa.array(ties[owner[rows]]), pa.array(start[rows].astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(known)]
-            if with_text:
-                columns.append(_ranges(data, first[rows], np.where(known, 0, windows + length - 1)))
-            yield pa.RecordBatch.from_arrays(columns, ["gram", "content", "_id", "_tie", "start", "windows", "known", "piece"][: len(columns)])
+            owner, first, count, key = units(data, offsets, length, gram)
+            start = first - offsets[owner] + (low if len(offsets) == 2 else 0)
+            take = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(batch.column(i).take(take) for i in range(3)), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))], ["gram", "_id", "_tie", "base", "start", "windows"])
 
     return run
 
@@ -208,23 +195,27 @@ def _ranges(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(data[np.repeat(start, size) + run_numbers(size)])])
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.StructArray]:
+def _flat(column: pa.Array) -> tuple[np.ndarray, pa.StructArray]:
     """List lengths, and all items of a list column."""
-    return column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), np.empty(0), column.flatten()
+    return column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), column.flatten()
 
 
 def cut_units(length: int) -> Callable:
-    """Rows (_id, _tie, open, text) to (gram, crowd, _id, _tie, start, windows, piece)."""
+    """Rows (_id, _tie, base, open, text) to (gram, n, _id, _tie, start, windows, piece), start counting in the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in slices(batches):
-            many, _, items = _flat(batch.column(2))
+            many, items = _flat(batch.column(3))
             start, windows = (items.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "windows"))
-            size = windows + length - 1
             owner = np.repeat(np.arange(len(many)), many)
-            piece = _ranges(data, offsets[owner] + start, size)
-            take = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([items.field("gram"), items.field("crowd"), batch.column(0).take(take), batch.column(1).take(take), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), piece], ["gram", "crowd", "_id", "_tie", "start", "windows", "piece"])
+            base = batch.column(2).to_numpy(zero_copy_only=False)[owner]
+            # half a slice of text at a time: units overlap, so that all may be many times the slice
+            size = windows + length - 1
+            cuts = np.unique(np.searchsorted(np.cumsum(size), np.arange(0, size.sum() + _CUT, _CUT), "right"))
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                part, own = slice(low, high), pa.array(owner[low:high])
+                piece = _ranges(data, offsets[owner[part]] + start[part], size[part])
+                yield pa.RecordBatch.from_arrays([items.field("gram")[part], items.field("n")[part], batch.column(0).take(own), batch.column(1).take(own), pa.array((base + start)[part].astype(np.int32)), pa.array(windows[part].astype(np.int32)), piece], ["gram", "n", "_id", "_tie", "start", "windows", "piece"])
 
     return run
 
@@ -238,14 +229,21 @@ def _spans(repeat: np.ndarray, owner: np.ndarray, offset: np.ndarray, length: in
     return owner[at[heads]], offset[at[heads]], size + length - 1
 
 
-def compare_units(length: int, limit: int = 1 << 18) -> Callable:
-    """Rows of open units sorted by gram to repeated spans (_id, _tie, start, size)."""
+_FOUND = "kind string, _id long, _tie long, start int, size int, piece binary"
+
+
+def compare_units(length: int, crowd: int) -> Callable:
+    """Rows (gram, part, n, _id, _tie, start, windows, piece) sorted by gram and part to found runs of windows.
+
+    Kind ``repeat`` is a span of bytes to remove. Of crowded grams, ``first`` is a run of the windows that come first
+    in their part, with its text.
+    """
 
     def solve(rows: pa.RecordBatch) -> pa.RecordBatch:
-        by = [rows.column(i).to_numpy(zero_copy_only=False) for i in (3, 2, 1)]
+        by = [rows.column(i).to_numpy(zero_copy_only=False) for i in (5, 4, 3)]
         rows = rows.take(pa.array(np.lexsort(by)))  # so that a window's number tells which comes first
-        ids, ties, start, windows = (rows.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2, 3, 4))
-        data, offsets = byte_view(rows.column(5))
+        n, ids, ties, start, windows = (rows.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2, 7))
+        data, offsets = byte_view(rows.column(7))
         offset = run_numbers(windows)
         place = np.repeat(offsets[:-1], windows) + offset
         owner = np.repeat(np.arange(len(windows)), windows)
@@ -253,27 +251,31 @@ def compare_units(length: int, limit: int = 1 << 18) -> Callable:
         back[place] = np.arange(len(place))
         order = suffix_order(data, length)
         order = order[back[order] >= 0]
-        new = np.r_[True, common_prefixes(data, order, length) < length][: len(order)]
-        heads = np.flatnonzero(new)
+        heads = np.flatnonzero(np.r_[True, common_prefixes(data, order, length) < length][: len(order)])
         repeat = np.ones(len(place), bool)
         if len(heads):
             repeat[np.minimum.reduceat(back[order], heads)] = False
         unit, at, size = _spans(repeat, owner, offset, length)
-        return pa.RecordBatch.from_arrays([pa.array(ids[unit]), pa.array(ties[unit]), pa.array((start[unit] + at).astype(np.int32)), pa.array(size.astype(np.int32))], ["_id", "_tie", "start", "size"])
+        again, again_at, again_size = _spans(~repeat & (n > crowd)[owner], owner, offset, length)
+        spans = pa.array([None], pa.binary()).take(pa.array(np.zeros(len(unit), np.int64)))
+        kinds = pa.array(np.repeat(["repeat", "first"], [len(unit), len(again)]), pa.string())
+        unit, at, size = np.r_[unit, again], np.r_[at, again_at], np.r_[size, again_size]
+        piece = pa.concat_arrays([spans, _ranges(data, offsets[again] + again_at, again_size)])
+        return pa.RecordBatch.from_arrays([kinds, pa.array(ids[unit]), pa.array(ties[unit]), pa.array((start[unit] + at).astype(np.int32)), pa.array(size.astype(np.int32)), piece], ["kind", "_id", "_tie", "start", "size", "piece"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            sizes = byte_view(batch.column(5))[1]
+            sizes = byte_view(batch.column(7))[1]
             low = 0
             while low < batch.num_rows:
-                high = max(low + 1, int(np.searchsorted(sizes, sizes[low] + limit, "right")) - 1)
+                high = max(low + 1, int(np.searchsorted(sizes, sizes[low] + _SORTED, "right")) - 1)
                 held.append(batch.slice(low, high - low))
                 low = high
-                if sum(x.column(5).nbytes for x in held) >= limit:
+                if sum(x.column(7).nbytes for x in held) >= _SORTED:
                     rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                    grams = rows.column(0).to_numpy()
-                    last = int(np.searchsorted(grams, grams[-1]))
+                    gram, part = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+                    last = int(np.argmax((gram == gram[-1]) & (part == part[-1])))
                     if last:
                         yield solve(rows.slice(0, last))
                     held = [pa.RecordBatch.from_arrays([x.slice(last) for x in rows.columns], rows.schema.names)]
@@ -283,77 +285,72 @@ def compare_units(length: int, limit: int = 1 << 18) -> Callable:
     return run
 
 
-def _marked(rows: DataFrame) -> DataFrame:
-    """``rows`` that are repeats, or first of one of several contents; the others cannot repeat."""
-    ordered = Window.partitionBy("gram").orderBy("content", "_id", "_tie", "start")
-    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    place = F.struct("content", "_id", "_tie", "start")
-    before = F.lag("content").over(ordered)
-    out = (
-        rows.repartition(shuffle_width(rows.sparkSession), "gram")
-        .withColumn("lead", before.isNull() | (before != F.col("content")))
-        .withColumn("same_place", F.coalesce(F.lag(place).over(ordered) == place, F.lit(False)))
-        .withColumn("contents", F.sum(F.when(F.col("lead"), 1).otherwise(0)).over(whole))
-        .where("known or not lead or contents > 1")
-    )
-    repeat = F.col("known") | (~F.col("lead") & ~F.col("same_place"))
-    return out.withColumn("repeat", repeat).where("repeat or contents > 1").drop("content", "known", "lead", "same_place")
-
-
-def _sure(marked: DataFrame, length: int) -> DataFrame:
-    return marked.where("repeat").select("_id", "_tie", "start", (F.col("windows") + (length - 1)).alias("size"))
+def _found(texts: DataFrame, length: int, gram: int, crowd: int) -> DataFrame:
+    """Runs found among the windows of ``texts`` (_id, _tie, base, text), filed under grams of ``gram`` bytes."""
+    n = shuffle_width(texts.sparkSession)
+    rows = spill(texts.mapInArrow(unit_rows(length, gram), _UNIT), "units")
+    several = rows.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    place = ["_id", "_tie", "base"]
+    still = rows.join(several.hint("shuffle_hash"), "gram").groupBy(place).agg(F.collect_list(F.struct("gram", "n", "start", "windows")).alias("open"))
+    cut = still.join(texts, place).select(*place, "open", "text").mapInArrow(cut_units(length), "gram long, n long, _id long, _tie long, start int, windows int, piece binary")
+    part = F.pmod(F.xxhash64("_id", "_tie", "start"), F.ceil(F.col("n") / crowd))
+    dealt = cut.select("gram", part.alias("part"), "n", "_id", "_tie", "start", "windows", "piece").repartition(n, "gram", "part").sortWithinPartitions("gram", "part")
+    return spill(dealt.mapInArrow(compare_units(length, crowd), _FOUND), "repeats")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
-    """(_id, _tie, start, size) spans of bytes to remove from ``docs`` (_id, _tie, text); they may overlap.
-
-    The documents' texts are shuffled once to cut out open units; what joins spans to ``docs`` by
-    (_id, _tie) in the same query uses that shuffle again.
-    """
-    n = shuffle_width(docs.sparkSession)
-    small, middle, full = grams(length)
-    one = docs.dropDuplicates(["_id", "_tie"]) if "_repeats" in docs.columns else docs
-    marked = spill(_marked(one.select("_id", "_tie", F.lit(0).alias("base"), "text").mapInArrow(unit_rows(length, small), _UNIT)), "units")
-    still = marked.where("not repeat").groupBy("_id", "_tie").agg(F.collect_set(F.struct("gram", "start", "windows", (F.col("contents") > crowd).alias("crowd"))).alias("open"))
-    cut = still.join(one, ["_id", "_tie"]).select("_id", "_tie", "open", "text").mapInArrow(cut_units(length), "gram long, crowd boolean, _id long, _tie long, start int, windows int, piece binary")
-    columns = ["gram", "_id", "_tie", "start", "windows", "piece"]
-    again = _marked(_filed(cut.where("crowd"), length, middle, True))
-    alone = _marked(_filed(again.where(f"not repeat and contents > {crowd}"), length, full, False))
-    close = cut.where("not crowd").select(*columns).unionByName(again.where(f"not repeat and contents <= {crowd}").select(*columns))
-    found = close.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(compare_units(length), "_id long, _tie long, start int, size int")
-    return _sure(marked, length).unionByName(found).unionByName(_sure(again, length)).unionByName(_sure(alone, length))
-
-
-def _filed(rows: DataFrame, length: int, gram: int, with_text: bool) -> DataFrame:
-    """Units of open units under longer grams."""
-    text = rows.select("_id", "_tie", F.col("start").alias("base"), F.col("piece").alias("text"))
-    return text.mapInArrow(unit_rows(length, gram, with_text), _UNIT + ", piece binary" * with_text)
+    """(_id, _tie, start, size) spans of bytes to remove from ``docs`` (_id, _tie, text); they may overlap."""
+    texts = docs.select("_id", "_tie", F.lit(0).alias("base"), "text")
+    widths = grams(length)
+    out, level = None, 0
+    while True:
+        found = _found(texts, length, widths[min(level, len(widths) - 1)], crowd)
+        spans = found.where("kind = 'repeat'").select("_id", "_tie", "start", "size")
+        out = spans if out is None else out.unionByName(spans)
+        texts = found.where("kind = 'first'").select("_id", "_tie", F.col("start").alias("base"), F.col("piece").alias("text"))
+        if texts.isEmpty():
+            return out
+        level += 1
 
 
 # --- applying -------------------------------------------------------------------------------
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with _id and _tie, by which repeats are ordered; _tie only where a doc_id repeats."""
-    repeats = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    out = docs.withColumn("text", as_text()).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
-    return out.withColumn("_tie", F.xxhash64("text")).withColumn("_repeats", F.lit(True)) if repeats else out.withColumn("_tie", F.lit(0).cast("long"))
-
+def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """``docs`` with two more columns that tell documents apart and their order, the same (_id, _tie, text) once each, and the columns' names.
 
-def with_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` (text never null) with ``_spans``, the list of (start, size) to remove, null if none."""
-    named = keyed(docs)
-    spans = repeated_spans(named.select("_id", "_tie", "text", *(["_repeats"] if "_repeats" in named.columns else [])), length)
-    lists = spans.groupBy("_id", "_tie").agg(F.collect_list(F.struct("start", "size")).alias("_spans"))
-    if docs.columns == ["doc_id", "text"]:  # then this side of the join is the one that open units were cut from
-        named = named.select("_id", "_tie", "text")
-        return named.join(lists, ["_id", "_tie"], "left").select(F.nullif("_id", F.lit(_NO_ID)).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text", "_spans")
-    return named.join(lists, ["_id", "_tie"], "left").select(*docs.columns, "_spans")
+    _id is doc_id if that is a whole number, else its place among all; _tie is a hash of the text where a doc_id repeats.
+    """
+    names = [free_name(docs, "_id"), free_name(docs, "_tie")]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    out = docs.withColumn("text", as_text())
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        # a null comes before all others, so before the smallest number too
+        null = F.col("doc_id").isNull()
+        out = out.withColumn(names[0], F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn(names[1], F.lit(0).cast("long"))
+        repeats = docs.groupBy(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).count().where("count > 1").limit(1).count()
+        tie = F.when(null, F.shiftrightunsigned(F.xxhash64("text"), 1) - (1 << 62) - (1 << 62)).otherwise(F.shiftrightunsigned(F.xxhash64("text"), 1))
+    else:
+        order = spill(docs.select("doc_id").distinct().orderBy(F.col("doc_id").asc_nulls_first()).select(F.col("doc_id").alias(names[1]), F.monotonically_increasing_id().alias(names[0])), "places")
+        out = out.join(order, F.col("doc_id").eqNullSafe(F.col(names[1]))).drop(names[1]).withColumn(names[1], F.lit(0).cast("long"))
+        repeats = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
+        tie = F.xxhash64("text")
+    if repeats:
+        out = out.withColumn(names[1], tie)
+    once = out.select(F.col(names[0]).alias("_id"), F.col(names[1]).alias("_tie"), "text")
+    return out, once.dropDuplicates(["_id", "_tie"]) if repeats else once, names
+
+
+def with_spans(docs: DataFrame, name: str, length: int = LENGTH) -> DataFrame:
+    """``docs`` (text never null) with the column ``name``, the list of (start, size) to remove, null if none."""
+    named, once, (number, tie) = keyed(docs)
+    lists = repeated_spans(once, length).groupBy(F.col("_id").alias(number), F.col("_tie").alias(tie)).agg(F.collect_list(F.struct("start", "size")).alias(name))
+    return named.join(lists, [number, tie], "left").select(*[f"`{c}`" for c in docs.columns], name)
 
 
 def _merged(column: pa.Array, sizes: np.ndarray):
     """For each row the list's spans, merged: row numbers, starts, ends."""
-    many, _, items = _flat(column)
+    many, items = _flat(column)
     start = items.field("start").to_numpy(zero_copy_only=False).astype(np.int64)
     end = start + items.field("size").to_numpy(zero_copy_only=False)
     base = np.cumsum(sizes + 1) - sizes - 1  # a gap between rows keeps their spans apart
@@ -393,31 +390,35 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     A null text is empty; texts under ``length`` bytes lose nothing. Rows that repeat both
     doc_id and text are one document, and each gets its result; rows with one doc_id and different
-    texts are ordered by a hash of the text. A null doc_id comes before all others.
+    texts are ordered by a hash of the text. doc_id may be of any type that has an order; null comes before all
+    others. Other columns are left out. A very long text is sorted in pieces.
     """
-    return with_spans(docs.select("doc_id", "text"), length).mapInArrow(summary, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return with_spans(docs.select("doc_id", "text"), "_spans", length).mapInArrow(summary, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
 
 
-def _kept_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, data, offsets in slices(batches):
-        names = batch.schema.names
-        owner, low, high = _merged(batch.column(names.index("_spans")), np.diff(offsets))
-        kept = ~_removed(data, offsets, owner, low, high)
-        # a character stays whole if any of its bytes stays
-        lead = (data & 0xC0) != 0x80
-        heads = np.flatnonzero(lead)
-        if len(heads):
-            any_kept = np.logical_or.reduceat(kept, heads)
-            kept = np.repeat(any_kept, np.diff(np.r_[heads, len(data)]))
-        ends = np.r_[0, np.cumsum(kept)][offsets].astype(np.int32)
-        text = pa.Array.from_buffers(pa.string(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data[kept])])
-        yield pa.RecordBatch.from_arrays([text if k == "text" else batch.column(i) for i, k in enumerate(names) if k != "_spans"], [k for k in names if k != "_spans"])
+def _kept_text(name: str) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in slices(batches):
+            names = batch.schema.names
+            owner, low, high = _merged(batch.column(names.index(name)), np.diff(offsets))
+            kept = ~_removed(data, offsets, owner, low, high)
+            # a character stays whole if any of its bytes stays
+            heads = np.flatnonzero((data & 0xC0) != 0x80)
+            if len(heads):
+                kept = np.repeat(np.logical_or.reduceat(kept, heads), np.diff(np.r_[heads, len(data)]))
+            ends = np.r_[0, np.cumsum(kept)][offsets].astype(np.int32)
+            text = pa.Array.from_buffers(pa.string(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data[kept])])
+            yield pa.RecordBatch.from_arrays([text if k == "text" else batch.column(i) for i, k in enumerate(names) if k != name], [k for k in names if k != name])
+
+    return run
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text``; every row stays, all columns stay.
 
     As ``repeats``, but a character of which any byte is kept is kept whole, so that the text stays
-    valid. A null text becomes empty.
+    valid. A null text becomes empty. Columns may have any names.
     """
-    return with_spans(docs, length).mapInArrow(_kept_text, docs.schema)
+    name = free_name(docs, "_spans")
+    return with_spans(docs, name, length).mapInArrow(_kept_text(name), docs.schema)
