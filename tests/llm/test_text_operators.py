@@ -270,7 +270,9 @@ def test_encoding_and_counts(docs, none):
     assert encode.encode(none, MODEL).count() == 0 and counts.token_counts(none, MODEL).count() == 0
 
 
-def test_random_strings_encode_as_the_library_does(monkeypatch):
+@pytest.mark.parametrize("long", [128, 0])
+def test_random_strings_encode_as_the_library_does(monkeypatch, long):
+    monkeypatch.setattr(encode, "LONG", long)
     library, model = sentencepiece.SentencePieceProcessor(model_file=MODEL), pieces.PieceModel(open(MODEL, "rb").read())
     encoder, counter, rng = encode.Encoder(model), counts.Counter(model), random.Random(8)
     for alphabet in ("ab", "etaoin  ", "▁ x", "éß日😀\n\t", "(){}=+-0123456789"):
@@ -279,6 +281,22 @@ def test_random_strings_encode_as_the_library_does(monkeypatch):
             parts = pieces.segments(text)
             assert encoder.encode(parts)[0].tolist() == library.encode(text), text
             assert sum(map(counter.count, parts)) == len(library.encode(text)), text
+    parts = ["".join(rng.choice(alphabet) for _ in range(3000)) for alphabet in ("ab", "etaoin", "aeiouthsn", "=-+", "日本語é")]
+    ids, edges = encoder.encode([pieces.MARK + p for p in parts])
+    for k, text in enumerate(parts):
+        assert ids[edges[k] : edges[k + 1]].tolist() == library.encode(text)
+
+
+def test_long_unbroken_texts_take_seconds():
+    library, encoder, rng = sentencepiece.SentencePieceProcessor(model_file=MODEL), encode.Encoder(pieces.PieceModel(open(MODEL, "rb").read())), random.Random(3)
+    import base64
+    import time
+
+    for text in ("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000)), base64.b64encode(rng.randbytes(750_000)).decode(), "ab" * 500_000, "の日本" * 300_000):
+        began = time.perf_counter()
+        ids = encoder.encode(pieces.segments(text))[0]
+        assert time.perf_counter() - began < 60
+        assert ids.tolist() == library.encode(text)
 
 
 # --- quality rules
