@@ -71,6 +71,45 @@ def test_classifiers_on_held_out_rows(spark, operator, label, limit):
     assert operator(docs.limit(0), labels).count() == 0 and operator(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_toxicity_against_a_plain_fit(spark, monkeypatch):
+    """Weights by partition-summed slopes equal those of a plain dense logistic regression on log-count ratios of a few texts."""
+    from tidemark.llm import labelled as training
+
+    monkeypatch.setattr(toxicity, "_curve", lambda margin, y: (1.0, 0.0))
+    docs, labels = labelled(spark, 240)
+    got = toxicity.fit(docs, labels)
+    rows = training.sample(docs, labels, "toxic").select("y", "text", (F.pmod(F.xxhash64("doc_id"), F.lit(toxicity.ASIDE)) == 0).alias("aside")).where("not aside").collect()
+    grams = [{t[i : i + n] for t in [" " + " ".join(r["text"].lower().split()) + " "] for n in toxicity.GRAMS for i in range(len(t) - n + 1)} for r in rows]
+    names = {g: k for k, g in enumerate(sorted(set().union(*grams)))}
+    x = np.zeros((len(rows), len(names)))
+    for k, found in enumerate(grams):
+        x[k, [names[g] for g in found]] = 1
+    y = np.array([r["y"] for r in rows], float)
+    yes, even = y.sum(), toxicity.SMOOTHING / y.sum()
+    x *= np.log((x[y == 1].sum(axis=0) / yes + even) / (x[y == 0].sum(axis=0) / (len(y) - yes) + even))
+    share = np.where(y > 0, 0.5 / yes, 0.5 / (len(y) - yes))
+
+    def at(w):
+        z = x @ w[:-1] + w[-1]
+        error = share * (1 / (1 + np.exp(-z)) - y)
+        return share @ np.logaddexp(0, np.where(y > 0, -z, z)) + toxicity.PENALTY / 2 * w[:-1] @ w[:-1], np.r_[x.T @ error + toxicity.PENALTY * w[:-1], error.sum()]
+
+    w = toxicity.minimise(at, np.zeros(len(names) + 1))
+    raw = [r["text"].encode() for r in rows]
+    found = toxicity.Features().of(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])])
+    margins = np.array([got.weights[f].sum() + got.bias for f in found])
+    # the fixed space has few collisions here, and numbers of 32 bits
+    assert np.corrcoef(margins, x @ w[:-1] + w[-1])[0, 1] > 0.999
+
+
+def test_character_features():
+    texts = ["Ab  C\nd", "日本語日本語です", "", "e\u0301é"]
+    raw = [t.encode() for t in texts]
+    got = [len(f) for f in toxicity.Features().of(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])])]
+    padded = [" " + " ".join(t.lower().split()) + " " for t in texts]
+    assert got == [len({t[i : i + n] for n in toxicity.GRAMS for i in range(len(t) - n + 1)}) for t in padded]
+
+
 def test_isotonic():
     y = np.array([0.0, 0.5, 0.2, 0.9, 0.8, 1.0])
     got = quality.isotonic(np.arange(6), y, np.ones(6))
@@ -140,8 +179,8 @@ def test_pipeline(spark, pipeline):
         left = {r["doc_id"] for r in after.select("doc_id").collect()}
         assert left <= ids
         if name == "toxicity":
-            scores = toxicity.with_score(docs, toxicity.fit(docs, spark.read.parquet(f"{FOLDER}/labels.parquet")))
-            assert left == {r["doc_id"] for r in scores.where("_score < 0.7").collect()}
+            scores = toxicity.with_score(docs, toxicity.fit(docs, spark.read.parquet(f"{FOLDER}/labels.parquet")), "s")
+            assert left == {r["doc_id"] for r in scores.where("s < 0.7").collect()}
         if name in ("passage_dedup", "tokens"):
             assert left == ids
         if number + 1 < len(pipeline.STAGES):

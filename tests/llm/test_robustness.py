@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import near, simhash, suffix
+from tidemark.llm import near, simhash, suffix, toxicity
 
 
 def say(rng, n):
@@ -33,6 +33,12 @@ def test_clashing_names(spark, operator):
     assert {0, 1, 2} <= set(rows) and all((r["_id"], r["_spans"], r["keep"], r["_hits"]) == ("x", "z", 2, 5) for r in rows.values())
 
 
+def test_clashing_names_of_a_score(spark):
+    docs = clashing(spark).withColumn("toxic_score", F.lit("t"))
+    got = toxicity.without_toxic(docs, spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int"))
+    assert got.columns == docs.columns and {r["toxic_score"] for r in got.collect()} <= {"t"}
+
+
 def test_text_ids_order_as_texts(spark):
     rng = random.Random(5)
     passage = say(rng, 80)
