@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import near, simhash, suffix, toxicity
+from tidemark.llm import decontaminate, near, simhash, suffix, toxicity
 
 
 def say(rng, n):
@@ -39,6 +39,13 @@ def test_clashing_names_of_a_score(spark):
     assert got.columns == docs.columns and {r["toxic_score"] for r in got.collect()} <= {"t"}
 
 
+def test_clashing_names_of_hits(spark):
+    docs = clashing(spark).withColumn("hit_tie", F.lit("t"))
+    item = docs.where("doc_id = 1").first()["text"]
+    got = decontaminate.decontaminate(docs, spark.createDataFrame([("i", item)], "item_id string, text string"))
+    assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == [0, 2, 3, 4]
+
+
 def test_text_ids_order_as_texts(spark):
     rng = random.Random(5)
     passage = say(rng, 80)
