@@ -1,10 +1,14 @@
 """Quality rules: robust multivariate outliers, in DataFrame functions only.
 
 Fixed rules come first. Documents that pass them are held against others of their language and source: a
-minimum-covariance-determinant estimate of centre and scatter, and rejection by Mahalanobis distance.
-Concentration steps run for all groups at once; each is two aggregates over rows of a
-few numbers. Quantiles come from histograms of fixed bins, so they are exact in the bins, add up
-over partitions, and have bounded size whatever the group.
+minimum-covariance-determinant estimate of centre and scatter for each, and rejection by Mahalanobis distance.
+Three deterministic starts (coordinates apart, correlations of tanh scores, of spatial signs) are concentrated for all
+groups at once until no determinant falls any more, and the smallest determinant wins. Every group has the same formula,
+whatever its size: the covariance of its central rows plus a floor, which dominates where rows are few.
+
+A step is aggregates with map-side sums over rows of a few numbers, so a hot group gives each task one partial row.
+Quantiles come from histograms of fixed bins, so they are exact in the bins, add up over partitions, and
+have bounded size whatever the group. Estimates are joined by key; Spark broadcasts them only while their size is small.
 """
 
 from __future__ import annotations
@@ -21,10 +25,14 @@ FEWEST_WORDS, REPEAT_WINDOW, MOST_REPEATED_PERCENT = 20, 8, 30
 SYMBOLS = "#*$%&|<>"
 #: Transformed statistics, with the least standard deviation that each is given.
 STATISTICS = {"word_length": 0.15, "symbol_rate": 0.05, "line_repeats": 0.15, "word_repeats": 0.15}
-SUBSET, STEPS = 0.75, 3
-#: Groups with fewer documents are estimated with the others of their language, then with all such.
-FEWEST_DOCUMENTS = 100
-_BIN, _TOP = 1 / 256, 20.0
+SUBSET = 0.75
+#: Share of a normal group that lies within the cutoff.
+LEVEL = 0.999999
+#: Concentration ends for a group and start once the determinant's logarithm falls by less.
+SETTLED = 1e-3
+STARTS = 3
+_BIN, _TOP = 1 / 128, 20.0
+_CORRELATION_FLOOR = 0.1
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -83,46 +91,109 @@ def _transformed() -> dict[str, Column]:
     return {name: share[name] for name in STATISTICS}
 
 
-def _quantile(rows: DataFrame, value: Column, share: float, name: str) -> DataFrame:
-    """Per group the first bin up to which at least ``share`` of the values lie."""
-    bins = rows.select("grp", F.floor(F.least(value, F.lit(_TOP)) / _BIN).alias("bin")).groupBy("grp", "bin").count()
-    ordered = Window.partitionBy("grp").orderBy("bin")
-    total = F.sum("count").over(Window.partitionBy("grp"))
-    return bins.withColumn("reached", F.sum("count").over(ordered) >= share * total).where("reached").groupBy("grp").agg(F.min("bin").alias(name))
+def _bin(value: Column) -> Column:
+    return F.floor(F.least(value, F.lit(_TOP)) / _BIN)
 
 
+def _quantile(rows: DataFrame, keys: list[str], bin: Column, share: float, name: str) -> DataFrame:
+    """Per ``keys`` the first bin up to which at least ``share`` of the values lie."""
+    bins = rows.select(*keys, bin.alias("bin")).groupBy(*keys, "bin").count()
+    total = F.sum("count").over(Window.partitionBy(*keys))
+    return bins.withColumn("reached", F.sum("count").over(Window.partitionBy(*keys).orderBy("bin")) >= share * total).where("reached").groupBy(*keys).agg(F.min("bin").alias(name))
 
 
-def _estimate(rows: DataFrame, factor: float) -> DataFrame:
-    """Per group the mean m_i and the covariance's lower root l_ij of ``rows``, the covariance times ``factor``."""
-    names = list(STATISTICS)
-    size = len(names)
-    sums = [F.avg(F.col(names[i])).alias(f"m_{i}") for i in range(size)]
-    sums += [F.avg(F.col(names[i]) * F.col(names[j])).alias(f"s_{i}{j}") for i in range(size) for j in range(i + 1)]
-    out = rows.groupBy("grp").agg(*sums)
-    floor = list(STATISTICS.values())
-    cov = [[(F.col(f"s_{i}{j}") - F.col(f"m_{i}") * F.col(f"m_{j}")) * factor + (floor[i] ** 2 if i == j else 0.0) if j <= i else F.lit(0.0) for j in range(size)] for i in range(size)]
-    # one column at a time, so that no expression holds another's many times over
+def _per_coordinate(rows: DataFrame, values: list[Column], name: str) -> DataFrame:
+    """Per group the medians of ``values`` as columns ``name``_i, of one histogram for all."""
+    stacked = rows.select("grp", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), _bin(v).alias("b")) for i, v in enumerate(values)])).alias("x")).select("grp", F.col("x.i").alias("i"), F.col("x.b").alias("b"))
+    middle = _quantile(stacked, ["grp", "i"], F.col("b"), 0.5, "middle")
+    return middle.groupBy("grp").agg(*[F.max(F.when(F.col("i") == i, (F.col("middle") + 0.5) * _BIN)).alias(f"{name}_{i}") for i in range(len(values))])
+
+
+def _with_root(moments: DataFrame, cov: Callable[[int, int], Column], name: str) -> DataFrame:
+    """``moments`` with the lower root ``name``_ij of a covariance, one column at a time, so that no expression holds another's many times over."""
+    size = len(STATISTICS)
     for i in range(size):
         for j in range(i + 1):
-            rest = cov[i][j]
+            rest = cov(i, j)
             for k in range(j):
-                rest = rest - F.col(f"l_{i}{k}") * F.col(f"l_{j}{k}")
-            out = out.withColumn(f"l_{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l_{j}{j}"))
-    return out.select("grp", *[f"m_{i}" for i in range(size)], *[f"l_{i}{j}" for i in range(size) for j in range(i + 1)])
+                rest = rest - F.col(f"{name}_{i}{k}") * F.col(f"{name}_{j}{k}")
+            moments = moments.withColumn(f"{name}_{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"{name}_{j}{j}"))
+    return moments
 
 
-def _with_distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    """``rows`` with the squared Mahalanobis distance ``d2``, null without an estimate."""
-    names = list(STATISTICS)
-    out = rows.join(estimate, "grp", "left")
-    for i, name in enumerate(names):
-        rest = F.col(name) - F.col(f"m_{i}")
+def _roots(name: str) -> list[str]:
+    return [f"{name}_{i}{j}" for i in range(len(STATISTICS)) for j in range(i + 1)]
+
+
+def _distance(rows: DataFrame, values: list[Column], root: str, name: str) -> DataFrame:
+    """``rows``, which hold a root, with the squared length ``name`` of ``values`` under its inverse."""
+    for i, value in enumerate(values):
+        rest = value
         for k in range(i):
-            rest = rest - F.col(f"l_{i}{k}") * F.col(f"z_{k}")
-        out = out.withColumn(f"z_{i}", rest / F.col(f"l_{i}{i}"))
-    d2 = sum((F.col(f"z_{i}") ** 2 for i in range(1, len(names))), F.col("z_0") ** 2)
-    return out.withColumn("d2", d2).select(*rows.columns, "d2")
+            rest = rest - F.col(f"{root}_{i}{k}") * F.col(f"_z_{k}")
+        rows = rows.withColumn(f"_z_{i}", rest / F.col(f"{root}_{i}{i}"))
+    return rows.withColumn(name, sum((F.col(f"_z_{i}") ** 2 for i in range(1, len(values))), F.col("_z_0") ** 2)).drop(*[f"_z_{i}" for i in range(len(values))])
+
+
+def _estimate(rows: DataFrame, keys: list[str], factor: float) -> DataFrame:
+    """Per ``keys`` mean m_i, lower root l_ij of the covariance times ``factor`` plus the floor, and logdet."""
+    names, floor = list(STATISTICS), list(STATISTICS.values())
+    size = len(names)
+    sums = [F.avg(F.col(names[i])).alias(f"m_{i}") for i in range(size)]
+    sums += [F.avg(F.col(names[i]) * F.col(names[j])).alias(f"s_{i}{j}") for i in range(size) for j in range(i + 1)]
+    out = _with_root(rows.groupBy(*keys).agg(*sums), lambda i, j: (F.col(f"s_{i}{j}") - F.col(f"m_{i}") * F.col(f"m_{j}")) * factor + (floor[i] ** 2 if i == j else 0.0), "l")
+    return out.select(*keys, *[f"m_{i}" for i in range(size)], *_roots("l"), sum((F.log(f"l_{i}{i}") for i in range(1, size)), F.log("l_00")).alias("logdet"))
+
+
+def _with_distance(rows: DataFrame, estimate: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """``rows`` with the squared Mahalanobis distance ``d2``, null without an estimate."""
+    joined = rows.join(estimate, keys, how)
+    return _distance(joined, [F.col(n) - F.col(f"m_{i}") for i, n in enumerate(STATISTICS)], "l", "d2").select(*rows.columns, "d2")
+
+
+def _started(learn: DataFrame) -> DataFrame:
+    """``learn`` once for each start, with the squared distance ``d2`` that the start gives."""
+    names, floor = list(STATISTICS), list(STATISTICS.values())
+    size = range(len(names))
+    centre = spill(_per_coordinate(learn, [F.col(n) for n in names], "c"), "rules-centre")
+    spread = spill(_per_coordinate(learn.join(centre, "grp"), [F.abs(F.col(n) - F.col(f"c_{i}")) for i, n in enumerate(names)], "v").join(centre, "grp"), "rules-spread")
+    scored = learn.join(spread, "grp")
+    for i, n in enumerate(names):
+        scored = scored.withColumn(f"_s_{i}", (F.col(n) - F.col(f"c_{i}")) / F.greatest(1.4826 * F.col(f"v_{i}"), F.lit(floor[i])))
+    scored = scored.select("grp", *names, *[f"_s_{i}" for i in size])
+    length = F.sqrt(sum((F.col(f"_s_{i}") ** 2 for i in size), F.lit(1e-9)))
+    kinds = {"t": [F.tanh(f"_s_{i}") for i in size], "g": [F.col(f"_s_{i}") / length for i in size]}
+    moments = scored.groupBy("grp").agg(*[F.avg(v[i] * v[j]).alias(f"{k}m_{i}{j}") for k, v in kinds.items() for i in size for j in range(i + 1)])
+    for k in kinds:  # correlations
+        moments = _with_root(moments, lambda i, j, k=k: F.col(f"{k}m_{i}{j}") / F.sqrt((F.col(f"{k}m_{i}{i}") + 1e-9) * (F.col(f"{k}m_{j}{j}") + 1e-9)) + (_CORRELATION_FLOOR if i == j else 0.0), k)
+    moments = spill(moments.select("grp", *_roots("t"), *_roots("g")), "rules-starts")
+    out = scored.join(moments, "grp").withColumn("d_0", length**2)
+    for number, k in enumerate(kinds, 1):
+        out = _distance(out, [F.col(f"_s_{i}") for i in size], k, f"d_{number}")
+    return out.select("grp", *names, F.explode(F.array(*[F.struct(F.lit(k).alias("start"), F.col(f"d_{k}").alias("d2")) for k in range(STARTS)])).alias("x")).select("grp", *names, "x.*")
+
+
+def _concentrated(learn: DataFrame) -> DataFrame:
+    """Per group the estimate of the smallest determinant that concentration reaches from any start."""
+    inside = _chi_square_point(SUBSET, len(STATISTICS))
+    factor = SUBSET / _chi_square(inside, len(STATISTICS) + 2)
+    keys, rows = ["grp", "start"], None
+    near, best = spill(_started(learn), "rules-near"), None
+    rows = near.drop("d2")
+    while True:
+        limit = _quantile(near, keys, _bin(F.log1p("d2")), SUBSET, "limit")
+        half = near.join(limit, keys).where(_bin(F.log1p("d2")) <= F.col("limit"))
+        now = spill(_estimate(half, keys, factor), "rules-estimate")
+        if best is None:
+            best, active = now, now
+        else:
+            falls = now.join(best.select(*keys, F.col("logdet").alias("before")), keys)
+            active = falls.where(F.col("logdet") < F.col("before") - SETTLED).drop("before")
+            best = spill(best.unionByName(active).groupBy(*keys).agg(F.min_by(F.struct(*best.columns), "logdet").alias("e")).select("e.*"), "rules-best")
+        active = spill(active, "rules-active")
+        if active.isEmpty():
+            return best.groupBy("grp").agg(F.min_by(F.struct(*best.columns), F.struct("logdet", "start")).alias("e")).select("e.*").drop("start", "logdet")
+        near = _with_distance(rows, active, keys, "inner")
 
 
 def _chi_square(x: float, degrees: int) -> float:
@@ -138,48 +209,25 @@ def _chi_square_point(share: float, degrees: int) -> float:
     return low
 
 
-#: Squared distance over which a document is rejected: a chi-square's 99.9999 % for four values, 33.4.
-CUTOFF = _chi_square_point(0.999999, len(STATISTICS))
-
-
-def _grouped(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``grp``: language and source, or wider where a group has few documents to learn from."""
-    sizes = rows.where("not base_failed").groupBy(F.col("lang").alias("k_lang"), F.col("source").alias("k_source")).count()
-    wide = sizes.where(F.col("count") < FEWEST_DOCUMENTS).groupBy(F.col("k_lang").alias("w_lang")).agg(F.sum("count").alias("of_lang"))
-    named = F.when(F.col("count") >= FEWEST_DOCUMENTS, F.to_json(F.struct("k_lang", "k_source"))).when(F.col("of_lang") >= FEWEST_DOCUMENTS, F.to_json(F.struct("k_lang"))).otherwise("")
-    keys = sizes.join(wide, F.col("k_lang").eqNullSafe(F.col("w_lang")), "left").select("k_lang", "k_source", named.alias("grp"))
-    return rows.join(keys, F.col("lang").eqNullSafe(F.col("k_lang")) & F.col("source").eqNullSafe(F.col("k_source")), "left").drop("k_lang", "k_source").withColumn("grp", F.coalesce("grp", F.lit("")))
+#: Squared distance over which a document is rejected: the chi-square point of LEVEL for four values, 33.4.
+CUTOFF = _chi_square_point(LEVEL, len(STATISTICS))
 
 
 def quality_rules(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """``base`` of each row of ``docs`` with d2 (squared distance) and kept.
+    """``base`` of each row of ``docs`` with grp (language and source), the statistics, d2 (squared distance) and kept.
 
-    Null lang and source are groups like any other. Documents that fail the fixed rules are estimated from
-    nowhere and kept nowhere. Repeated rows count as often as they occur. A group of fewer than
-    FEWEST_DOCUMENTS is joined with the others of its kind; where nothing can be estimated, documents
-    that pass the fixed rules are kept.
+    Null lang and source are values like any other. Documents that fail the fixed rules are estimated from
+    nowhere and kept nowhere. Repeated rows count as often as they occur. In a group of one or of equal documents the
+    floor alone is the scatter. Other columns, whatever their names, are left out; a very long text is one row's work.
     """
     rows = base(docs)
     for name, value in _transformed().items():
         rows = rows.withColumn(name, value)
-    rows = spill(_grouped(spill(rows, "rules")), "rules-grouped")
+    rows = spill(rows.withColumn("grp", F.to_json(F.struct("lang", "source"))), "rules")
     learn = rows.where("not base_failed").select("grp", *STATISTICS)
-    # start: nearness to the medians, coordinate by coordinate
-    centre = None
-    for name in STATISTICS:
-        one = _quantile(learn, F.col(name), 0.5, f"c_{name}")
-        centre = one if centre is None else centre.join(one, "grp")
-    centre = spill(centre, "rules-centre")
-    far = sum((((F.col(n) - F.col(f"c_{n}") * _BIN) / floor) ** 2 for n, floor in STATISTICS.items()), F.lit(0.0))
-    near = learn.join(centre, "grp").withColumn("d2", far).select("grp", *STATISTICS, "d2")
-    inside = _chi_square_point(SUBSET, len(STATISTICS))
-    factor = SUBSET / _chi_square(inside, len(STATISTICS) + 2)
-    for _ in range(STEPS):
-        limit = _quantile(near, F.log1p("d2"), SUBSET, "limit")
-        half = near.join(limit, "grp").where(F.floor(F.least(F.log1p("d2"), F.lit(_TOP)) / _BIN) <= F.col("limit"))
-        estimate = spill(_estimate(half, factor), "rules-estimate")
-        near = _with_distance(learn, estimate)
+    estimate = spill(_concentrated(learn), "rules-estimate")
     # once more over all that lie near: the usual reweighting
-    estimate = spill(_estimate(near.where(F.col("d2") <= _chi_square_point(0.975, len(STATISTICS))), 1.0), "rules-estimate")
-    out = _with_distance(rows, estimate)
+    near = _with_distance(learn, estimate, ["grp"])
+    estimate = spill(_estimate(near.where(F.col("d2") <= _chi_square_point(0.975, len(STATISTICS))), ["grp"], 1.0), "rules-estimate")
+    out = _with_distance(rows, estimate, ["grp"])
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True)))
