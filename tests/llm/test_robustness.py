@@ -93,7 +93,7 @@ def test_crowds_of_equal_and_of_different_units(spark):
                 gone[k : k + 100] = b"\1" * 100
             seen.add(raw[k : k + 100])
         want[i] = hashlib.sha256(bytes(c for c, g in zip(raw, gone, strict=True) if not g)).hexdigest()
-    named, once, (number, tie) = suffix.keyed(docs)
-    lists = suffix.repeated_spans(once, crowd=7).groupBy("_id").agg(F.collect_list(F.struct("start", "size")).alias("_spans"))
+    _, once, place = suffix.keyed(docs)
+    lists = suffix.repeated_spans(once, place, part_bytes=900).groupBy("_id").agg(F.collect_list(F.struct("start", "size")).alias("_spans"))
     got = docs.join(lists, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "_spans").mapInArrow(suffix.summary, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
     assert {r["doc_id"]: r["kept_sha256"] for r in got.collect()} == want

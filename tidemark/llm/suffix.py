@@ -3,15 +3,16 @@
 Every window of ``length`` bytes is filed under the smallest hash among its grams, the leftmost if several are
 equal. Equal windows have equal smallest grams, so windows under different grams need no comparison.
 Neighbouring windows under one gram make a *unit* of about forty windows. Hashes only file and leave out; which
-windows repeat is read from the sorted suffixes:
+windows repeat is read from sorted suffixes. A round goes like this:
 
 1. Each slice of documents gives its units as rows of numbers, no text. A unit alone under its gram cannot repeat
-   and goes no further: grams are counted, and units joined with the counts over one.
+   and goes no further. What a task has met twice is known not to be alone: it gives one row under its gram, so that a
+   gram in very many documents gives a row for each task.
 2. The text of the other units is cut out of their documents and dealt by gram. A two-stage suffix sort and the
-   common prefixes of neighbours find equal windows, and all but the first of each are repeats.
-3. A gram with over ``CROWD`` units is dealt in that many parts. Each part finds its repeats as above, and the windows
-   that are first in their part are filed again under longer grams, in the end under whole windows, until
-   no gram is crowded. So no task gathers a crowd, whether its texts are equal or not.
+   common prefixes of neighbours find equal windows of one gram, and all but the first of each are repeats.
+3. A gram with over ``PART`` bytes is dealt in that many parts, so no task gathers a crowd, whether its texts are equal or not.
+   Windows that are first in their part, but may have equals in another, have a round of their own under longer
+   grams, in the end under whole windows, until none is crowded.
 
 Order is by doc_id, then by start. Results don't depend on slices or partitions.
 """
@@ -23,14 +24,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import RangeHash, as_text, byte_view, free_name, run_numbers, shuffle_width, slices, spill
+from .common import RangeHash, as_text, byte_view, free_name, lookup, mix, run_numbers, shuffle_width, slices, spill
 
 LENGTH = 100
-CROWD = 2000
-_PIECE, _CUT, _SORTED = 1 << 21, 1 << 19, 1 << 19
+#: Bytes of one key that are sorted together.
+PART = 1 << 19
+#: Grams that a task remembers to have met twice.
+REMEMBERED = 1 << 20
+_PIECE, _CUT = 1 << 21, 1 << 19
 _PLACE_BITS = np.uint64(28)
 
 # --- suffix sorting -------------------------------------------------------------------------
@@ -71,39 +76,47 @@ def _sort_directly(places: np.ndarray, words: np.ndarray, depth: int) -> np.ndar
     return places
 
 
-def suffix_order(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
-    """All places of ``data`` in the order of their suffixes' first ``depth`` bytes at least.
+def suffix_order(data: np.ndarray, depth: int = LENGTH, wanted: np.ndarray | None = None) -> np.ndarray:
+    """All places of ``data``, or the ``wanted`` ones, in the order of their suffixes' first ``depth`` bytes at least.
 
     Two-stage: suffixes smaller than their successors are sorted directly; a scan of the buckets
     of first bytes, from the left, puts every other suffix in its bucket when its successor is
-    met. A bucket is scanned as whole arrays, again for what it adds to itself.
+    met. A bucket is scanned as whole arrays, again for what it adds to itself. Of the places not wanted
+    only those take part that a wanted one is induced from.
     """
     n = len(data)
     text = np.r_[data, np.zeros(depth + 16, np.uint8)]
     size = n + 1  # one end mark, smaller than all: it only starts the scan
     # smaller than the successor: the next different byte is larger
     change = np.flatnonzero(np.r_[text[1:size] != text[: size - 1], True])
-    at = change[np.searchsorted(change, np.arange(n))]
+    at = np.repeat(change, np.diff(np.r_[-1, change]))[:n]
     smaller = (text[np.minimum(at + 1, size - 1)] > text[:n]) & (at < n - 1)
-    direct = _sort_directly(np.flatnonzero(smaller), _words(text), depth)
+    needed = np.ones(n, bool)
+    if wanted is not None and n:
+        ends = np.minimum.accumulate(np.where(smaller, np.arange(n), n - 1)[::-1])[::-1]
+        first = np.flatnonzero(wanted & ~smaller)
+        needed = wanted | (np.cumsum(np.bincount(first, minlength=n + 1) - np.bincount(ends[first] + 1, minlength=n + 1))[:n] > 0)
+    direct = _sort_directly(np.flatnonzero(smaller & needed), _words(text), depth)
     edges = np.searchsorted(text[direct], np.arange(257))
+    induced = needed & ~smaller
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     out = []
 
     def scan(now: np.ndarray, byte: int) -> np.ndarray:
         before = now[now > 0] - 1
-        before = before[~smaller[before]]
+        before = before[induced[before]]
         first = text[before]
         own = before[first == byte]
         before, first = before[first != byte], first[first != byte]
         if len(before):
             order = np.argsort(first, kind="stable")
-            cut = np.flatnonzero(np.diff(first[order])) + 1
-            for part in np.split(before[order], cut):
-                waiting[text[part[0]]].append(part)
+            before, first = before[order], first[order]
+            cuts = [0, *(np.flatnonzero(first[1:] != first[:-1]) + 1).tolist(), len(first)]
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                waiting[first[low]].append(before[low:high])
         return own
 
-    if n:
+    if n and induced[n - 1]:
         waiting[text[n - 1]].append(np.array([n - 1]))
     for byte in range(256):
         now = np.concatenate(waiting[byte]) if waiting[byte] else np.empty(0, np.int64)
@@ -115,7 +128,8 @@ def suffix_order(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
         if len(now):
             out.append(now)
             scan(now, byte)
-    return np.concatenate(out) if out else np.empty(0, np.int64)
+    order = np.concatenate(out) if out else np.empty(0, np.int64)
+    return order if wanted is None else order[wanted[order]]
 
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, most: int = LENGTH) -> np.ndarray:
@@ -173,18 +187,31 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int):
             yield batch, data[low:high], np.clip(offsets, low, high) - low, low
 
 
-_UNIT = "gram long, _id long, _tie long, base int, start int, windows int"
+_UNIT = "route long, gram long, met int, _id long, _tie long, base int, start int, windows int"
 
 
 def unit_rows(length: int, gram: int) -> Callable:
-    """Rows (_id, _tie, base, text) to units; start counts from base, where text starts in its document."""
+    """Rows (_id, _tie, base, text) to units; start counts from base, where text starts in its document.
+
+    A unit met once goes under its gram. The others go each under a number of their own, with their gram and ``met`` 2,
+    and for them one row without windows goes under the gram.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        twice = np.empty(0, np.uint64)
         for batch, data, offsets, low in _pieces(batches, length):
             owner, first, count, key = units(data, offsets, length, gram)
             start = first - offsets[owner] + (low if len(offsets) == 2 else 0)
-            take = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(batch.column(i).take(take) for i in range(3)), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))], ["gram", "_id", "_tie", "base", "start", "windows"])
+            found, many = np.unique(key, return_counts=True)
+            new = np.setdiff1d(found[many > 1], twice, assume_unique=True)
+            known = (lookup(key, twice) >= 0) | (lookup(key, new) >= 0)
+            if len(twice) + len(new) <= REMEMBERED:
+                twice = np.union1d(twice, new)
+            none = np.zeros(len(new), np.int64)
+            route = np.r_[np.where(known, mix(key + mix(start.astype(np.uint64) + (owner.astype(np.uint64) << np.uint64(32)))), key), new]
+            met, starts, windows = (pa.array(np.r_[x, y].astype(np.int32)) for x, y in ((known + 1, none + 2), (start, none), (count, none)))
+            ids = pa.array(np.r_[owner, none])
+            yield pa.RecordBatch.from_arrays([pa.array(route.view(np.int64)), pa.array(np.r_[key, new].view(np.int64), mask=np.r_[~known, none == 0]), met, *(batch.column(i).take(ids) for i in range(3)), starts, windows], ["route", "gram", "met", "_id", "_tie", "base", "start", "windows"])
 
     return run
 
@@ -201,7 +228,7 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, pa.StructArray]:
 
 
 def cut_units(length: int) -> Callable:
-    """Rows (_id, _tie, base, open, text) to (gram, n, _id, _tie, start, windows, piece), start counting in the document."""
+    """Rows (_id, _tie, base, open, text, ...) to (gram, part, _id, _tie, start, windows, piece), start counting in the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in slices(batches):
@@ -209,13 +236,13 @@ def cut_units(length: int) -> Callable:
             start, windows = (items.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "windows"))
             owner = np.repeat(np.arange(len(many)), many)
             base = batch.column(2).to_numpy(zero_copy_only=False)[owner]
-            # half a slice of text at a time: units overlap, so that all may be many times the slice
+            # some text at a time: units overlap, so that all may be many times the slice
             size = windows + length - 1
             cuts = np.unique(np.searchsorted(np.cumsum(size), np.arange(0, size.sum() + _CUT, _CUT), "right"))
             for low, high in zip(cuts[:-1], cuts[1:], strict=True):
                 part, own = slice(low, high), pa.array(owner[low:high])
                 piece = _ranges(data, offsets[owner[part]] + start[part], size[part])
-                yield pa.RecordBatch.from_arrays([items.field("gram")[part], items.field("n")[part], batch.column(0).take(own), batch.column(1).take(own), pa.array((base + start)[part].astype(np.int32)), pa.array(windows[part].astype(np.int32)), piece], ["gram", "n", "_id", "_tie", "start", "windows", "piece"])
+                yield pa.RecordBatch.from_arrays([items.field("gram")[part], items.field("part")[part], batch.column(0).take(own), batch.column(1).take(own), pa.array((base + start)[part].astype(np.int32)), pa.array(windows[part].astype(np.int32)), piece], ["gram", "part", "_id", "_tie", "start", "windows", "piece"])
 
     return run
 
@@ -232,47 +259,48 @@ def _spans(repeat: np.ndarray, owner: np.ndarray, offset: np.ndarray, length: in
 _FOUND = "kind string, _id long, _tie long, start int, size int, piece binary"
 
 
-def compare_units(length: int, crowd: int) -> Callable:
-    """Rows (gram, part, n, _id, _tie, start, windows, piece) sorted by gram and part to found runs of windows.
+def compare_units(length: int, crowded: bool) -> Callable:
+    """Rows (gram, part, _id, _tie, start, windows, piece) sorted by gram and part to found runs of windows.
 
-    Kind ``repeat`` is a span of bytes to remove. Of crowded grams, ``first`` is a run of the windows that come first
+    Kind ``repeat`` is a span of bytes to remove. Where ``crowded``, ``first`` is a run of the windows that come first
     in their part, with its text.
     """
 
     def solve(rows: pa.RecordBatch) -> pa.RecordBatch:
-        by = [rows.column(i).to_numpy(zero_copy_only=False) for i in (5, 4, 3)]
-        rows = rows.take(pa.array(np.lexsort(by)))  # so that a window's number tells which comes first
-        n, ids, ties, start, windows = (rows.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2, 7))
-        data, offsets = byte_view(rows.column(7))
+        ids, ties, start = (rows.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4))
+        order = np.lexsort((start, ties, ids))  # so that a window's number tells which comes first
+        rows, start = rows.take(pa.array(order)), start[order]
+        windows = rows.column(5).to_numpy().astype(np.int64)
+        data, offsets = byte_view(rows.column(6))
         offset = run_numbers(windows)
         place = np.repeat(offsets[:-1], windows) + offset
         owner = np.repeat(np.arange(len(windows)), windows)
-        back = np.full(len(data), -1)
+        back = np.zeros(len(data), np.int64)
         back[place] = np.arange(len(place))
-        order = suffix_order(data, length)
-        order = order[back[order] >= 0]
+        wanted = np.zeros(len(data), bool)
+        wanted[place] = True
+        order = suffix_order(data, length, wanted)
         heads = np.flatnonzero(np.r_[True, common_prefixes(data, order, length) < length][: len(order)])
         repeat = np.ones(len(place), bool)
         if len(heads):
             repeat[np.minimum.reduceat(back[order], heads)] = False
-        unit, at, size = _spans(repeat, owner, offset, length)
-        again, again_at, again_size = _spans(~repeat & (n > crowd)[owner], owner, offset, length)
-        spans = pa.array([None], pa.binary()).take(pa.array(np.zeros(len(unit), np.int64)))
-        kinds = pa.array(np.repeat(["repeat", "first"], [len(unit), len(again)]), pa.string())
-        unit, at, size = np.r_[unit, again], np.r_[at, again_at], np.r_[size, again_size]
-        piece = pa.concat_arrays([spans, _ranges(data, offsets[again] + again_at, again_size)])
-        return pa.RecordBatch.from_arrays([kinds, pa.array(ids[unit]), pa.array(ties[unit]), pa.array((start[unit] + at).astype(np.int32)), pa.array(size.astype(np.int32)), piece], ["kind", "_id", "_tie", "start", "size", "piece"])
+        again, first = _spans(repeat, owner, offset, length), _spans(~repeat & crowded, owner, offset, length)
+        unit, at, size = (np.concatenate(x) for x in zip(again, first, strict=True))
+        kinds = pa.array(np.repeat(["repeat", "first"], [len(again[0]), len(first[0])]), pa.string())
+        piece = pa.concat_arrays([pa.nulls(len(again[0]), pa.binary()), _ranges(data, offsets[first[0]] + first[1], first[2])])
+        take = pa.array(unit)
+        return pa.RecordBatch.from_arrays([kinds, rows.column(2).take(take), rows.column(3).take(take), pa.array((start[unit] + at).astype(np.int32)), pa.array(size.astype(np.int32)), piece], ["kind", "_id", "_tie", "start", "size", "piece"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            sizes = byte_view(batch.column(7))[1]
+            sizes = byte_view(batch.column(6))[1]
             low = 0
             while low < batch.num_rows:
-                high = max(low + 1, int(np.searchsorted(sizes, sizes[low] + _SORTED, "right")) - 1)
+                high = max(low + 1, int(np.searchsorted(sizes, sizes[low] + PART, "right")) - 1)
                 held.append(batch.slice(low, high - low))
                 low = high
-                if sum(x.column(7).nbytes for x in held) >= _SORTED:
+                if sum(x.column(6).nbytes for x in held) >= PART:
                     rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                     gram, part = rows.column(0).to_numpy(), rows.column(1).to_numpy()
                     last = int(np.argmax((gram == gram[-1]) & (part == part[-1])))
@@ -285,39 +313,54 @@ def compare_units(length: int, crowd: int) -> Callable:
     return run
 
 
-def _found(texts: DataFrame, length: int, gram: int, crowd: int) -> DataFrame:
-    """Runs found among the windows of ``texts`` (_id, _tie, base, text), filed under grams of ``gram`` bytes."""
+_FOUND = "kind string, _id long, _tie long, start int, size int, piece binary"
+
+
+def _round(texts: DataFrame, place: list[str], length: int, gram: int, part_bytes: int) -> tuple[DataFrame, DataFrame | None]:
+    """Runs found among the windows of ``texts``, which ``place`` tells apart, filed under grams of ``gram`` bytes.
+
+    The second is what crowded grams give, already written, None without any.
+    """
     n = shuffle_width(texts.sparkSession)
-    rows = spill(texts.mapInArrow(unit_rows(length, gram), _UNIT), "units")
-    several = rows.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
-    place = ["_id", "_tie", "base"]
-    still = rows.join(several.hint("shuffle_hash"), "gram").groupBy(place).agg(F.collect_list(F.struct("gram", "n", "start", "windows")).alias("open"))
-    cut = still.join(texts, place).select(*place, "open", "text").mapInArrow(cut_units(length), "gram long, n long, _id long, _tie long, start int, windows int, piece binary")
-    part = F.pmod(F.xxhash64("_id", "_tie", "start"), F.ceil(F.col("n") / crowd))
-    dealt = cut.select("gram", part.alias("part"), "n", "_id", "_tie", "start", "windows", "piece").repartition(n, "gram", "part").sortWithinPartitions("gram", "part")
-    return spill(dealt.mapInArrow(compare_units(length, crowd), _FOUND), "repeats")
-
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
-    """(_id, _tie, start, size) spans of bytes to remove from ``docs`` (_id, _tie, text); they may overlap."""
-    texts = docs.select("_id", "_tie", F.lit(0).alias("base"), "text")
-    widths = grams(length)
-    out, level = None, 0
-    while True:
-        found = _found(texts, length, widths[min(level, len(widths) - 1)], crowd)
-        spans = found.where("kind = 'repeat'").select("_id", "_tie", "start", "size")
-        out = spans if out is None else out.unionByName(spans)
-        texts = found.where("kind = 'first'").select("_id", "_tie", F.col("start").alias("base"), F.col("piece").alias("text"))
-        if texts.isEmpty():
-            return out
-        level += 1
+    own = [free_name(texts, f"cut_{k}") for k in ("id", "tie", "base", "open")]
+    base = F.col(place[2]) if len(place) > 2 else F.lit(0)
+    named = texts.select(F.col(place[0]).alias("_id"), F.col(place[1]).alias("_tie"), base.alias("base"), "text")
+    rows = named.mapInArrow(unit_rows(length, gram), _UNIT).withColumn("n", F.sum("met").over(Window.partitionBy("route")))
+    units_ = spill(rows.where("n > 1 and windows > 0").select(F.coalesce("gram", "route").alias("gram"), "_id", "_tie", "base", "start", "windows"), "units")
+    size = F.sum(F.col("windows").cast("long") + (length - 1))
+    crowds = spill(units_.groupBy("gram").agg(F.ceil(size / part_bytes).cast("int").alias("parts")).where("parts > 1"), "crowds")
+
+    def found(some: DataFrame, part, crowded: bool) -> DataFrame:
+        item = F.struct("gram", part.cast("int").alias("part"), "start", "windows")
+        lists = some.groupBy(*[F.col(k).alias(p) for k, p in zip(("_id", "_tie", "base"), place)]).agg(F.collect_list(item).alias(own[3]))
+        # all columns go along, though only the text is read, so that a later join of all of them uses this shuffle again
+        with_text = lists.join(texts, place).select(F.col(place[0]).alias(own[0]), F.col(place[1]).alias(own[1]), base.alias(own[2]), own[3], "text", *[f"`{c}`" for c in texts.columns if c not in ("text", *place)])
+        cut = with_text.mapInArrow(cut_units(length), "gram long, part int, _id long, _tie long, start int, windows int, piece binary")
+        return cut.repartition(n, "gram", "part").sortWithinPartitions("gram", "part").mapInArrow(compare_units(length, crowded), _FOUND)
+
+    if crowds.isEmpty():
+        return found(units_, F.lit(0), False), None
+    part = F.pmod(F.xxhash64("_id", "_tie", "base", "start"), F.col("parts"))
+    return found(units_.join(crowds, "gram", "left_anti"), F.lit(0), False), spill(found(units_.join(crowds, "gram"), part, True), "crowded")
+
+
+def repeated_spans(texts: DataFrame, place: list[str], length: int = LENGTH, part_bytes: int = PART) -> DataFrame:
+    """(_id, _tie, start, size) spans of bytes to remove from ``texts`` (text, and ``place``, which gives _id and _tie); they may overlap."""
+    widths = iter(grams(length))
+    out, crowd = _round(texts, place, length, next(widths), part_bytes)
+    while crowd is not None:
+        out = out.unionByName(crowd)
+        firsts = crowd.where("kind = 'first'").select("_id", "_tie", F.col("start").alias("base"), F.col("piece").alias("text"))
+        found, crowd = _round(firsts, ["_id", "_tie", "base"], length, next(widths, length), part_bytes)
+        out = out.unionByName(spill(found, "uncrowded"))
+    return out.where("kind = 'repeat'").select("_id", "_tie", "start", "size")
 
 
 # --- applying -------------------------------------------------------------------------------
 
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
-    """``docs`` with two more columns that tell documents apart and their order, the same (_id, _tie, text) once each, and the columns' names.
+    """``docs`` with two more columns that tell documents apart and their order, the same with each document once, and the columns' names.
 
     _id is doc_id if that is a whole number, else its place among all; _tie is a hash of the text where a doc_id repeats.
     """
@@ -337,15 +380,14 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
         tie = F.xxhash64("text")
     if repeats:
         out = out.withColumn(names[1], tie)
-    once = out.select(F.col(names[0]).alias("_id"), F.col(names[1]).alias("_tie"), "text")
-    return out, once.dropDuplicates(["_id", "_tie"]) if repeats else once, names
+    return out, out.dropDuplicates(names) if repeats else out, names
 
 
 def with_spans(docs: DataFrame, name: str, length: int = LENGTH) -> DataFrame:
     """``docs`` (text never null) with the column ``name``, the list of (start, size) to remove, null if none."""
-    named, once, (number, tie) = keyed(docs)
-    lists = repeated_spans(once, length).groupBy(F.col("_id").alias(number), F.col("_tie").alias(tie)).agg(F.collect_list(F.struct("start", "size")).alias(name))
-    return named.join(lists, [number, tie], "left").select(*[f"`{c}`" for c in docs.columns], name)
+    named, once, place = keyed(docs)
+    lists = repeated_spans(once, place, length).groupBy(F.col("_id").alias(place[0]), F.col("_tie").alias(place[1])).agg(F.collect_list(F.struct("start", "size")).alias(name))
+    return named.join(lists, place, "left").select(*[f"`{c}`" for c in docs.columns], name)
 
 
 def _merged(column: pa.Array, sizes: np.ndarray):
