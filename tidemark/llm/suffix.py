@@ -330,8 +330,8 @@ def _round(texts: DataFrame, place: list[str], length: int, gram: int, part_byte
     size = F.sum(F.col("windows").cast("long") + (length - 1))
     crowds = spill(units_.groupBy("gram").agg(F.ceil(size / part_bytes).cast("int").alias("parts")).where("parts > 1"), "crowds")
 
-    def found(some: DataFrame, part, crowded: bool) -> DataFrame:
-        item = F.struct("gram", part.cast("int").alias("part"), "start", "windows")
+    def found(some: DataFrame, crowded: bool) -> DataFrame:
+        item = F.struct("gram", "part", "start", "windows")
         lists = some.groupBy(*[F.col(k).alias(p) for k, p in zip(("_id", "_tie", "base"), place)]).agg(F.collect_list(item).alias(own[3]))
         # all columns go along, though only the text is read, so that a later join of all of them uses this shuffle again
         with_text = lists.join(texts, place).select(F.col(place[0]).alias(own[0]), F.col(place[1]).alias(own[1]), base.alias(own[2]), own[3], "text", *[f"`{c}`" for c in texts.columns if c not in ("text", *place)])
@@ -339,9 +339,10 @@ def _round(texts: DataFrame, place: list[str], length: int, gram: int, part_byte
         return cut.repartition(n, "gram", "part").sortWithinPartitions("gram", "part").mapInArrow(compare_units(length, crowded), _FOUND)
 
     if crowds.isEmpty():
-        return found(units_, F.lit(0), False), None
-    part = F.pmod(F.xxhash64("_id", "_tie", "base", "start"), F.col("parts"))
-    return found(units_.join(crowds, "gram", "left_anti"), F.lit(0), False), spill(found(units_.join(crowds, "gram"), part, True), "crowded")
+        return found(units_.withColumn("part", F.lit(0)), False), None
+    part = F.when(F.col("parts").isNull(), -1).otherwise(F.pmod(F.xxhash64("_id", "_tie", "base", "start"), F.col("parts"))).cast("int")
+    dealt = units_.join(crowds, "gram", "left").withColumn("part", part)
+    return found(dealt.where("part < 0"), False), spill(found(dealt.where("part >= 0"), True), "crowded")
 
 
 def repeated_spans(texts: DataFrame, place: list[str], length: int = LENGTH, part_bytes: int = PART) -> DataFrame:
