@@ -25,8 +25,8 @@ from .components import components
 MOST_BITS = 2
 SHINGLE = 3
 SEED = 42
-#: Fingerprints in a range, and the most ranges; beyond these ranges grow.
-RANGE, MOST_RANGES = 1 << 13, 1 << 16
+#: Fingerprints in a range, and how few and how many ranges there are: fewer would leave machines idle, and beyond the most ranges grow.
+RANGE, FEWEST_RANGES, MOST_RANGES = 1 << 17, 64, 1 << 16
 FAN_OUT = 8
 _FRONTIER = 1 << 20
 
@@ -245,16 +245,27 @@ def _range_links(most: int) -> Callable:
     return run
 
 
-def near_links(fps: DataFrame, most: int = MOST_BITS, range_size: int = RANGE) -> DataFrame:
+def _ranged(bounds: np.ndarray) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rank = gray_rank(batch.column(0).to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, rank, "left").astype(np.int32)), batch.column(0)], ["range", "fp"])
+
+    return run
+
+
+def near_links(fps: DataFrame, most: int = MOST_BITS, range_size: int = RANGE, fewest: int = FEWEST_RANGES) -> DataFrame:
     """Links (a, b) between distinct fingerprints ``fp`` that keep every cluster connected, for any ``most``."""
     spark, n = fps.sparkSession, shuffle_width(fps.sparkSession)
-    ranges = min(MOST_RANGES, max(1, -(-fps.count() // range_size)))
+    ranges = min(MOST_RANGES, max(fewest, -(-fps.count() // range_size)))
     rank = F.col("fp")
     for shift in (1, 2, 4, 8, 16, 32):
         rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, shift))
-    # the rank as a signed number of the same order
-    ordered = fps.select("fp", rank.bitwiseXOR(F.lit(-(1 << 63))).alias("rank")).repartitionByRange(ranges, "rank")
-    ranged = spill(ordered.select(F.spark_partition_id().alias("range"), "fp"), "simhash-ranges")
+    # the ranks that part the ranges, about; as signed numbers of the same order
+    shares = [k / ranges for k in range(1, ranges)]
+    signed = fps.agg(F.percentile_approx(rank.bitwiseXOR(F.lit(-(1 << 63))), shares, max(10_000, 20 * ranges))).first()[0] if shares else []
+    bounds = np.array(signed or [], np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+    ranged = spill(fps.select("fp").mapInArrow(Shared(spark.sparkContext.broadcast(bounds), _ranged), "range int, fp long"), "simhash-ranges")
     upper = sorted(tuple(r) for r in ranged.groupBy("range").agg(F.bit_and("fp"), F.bit_or("fp")).collect())  # at most MOST_RANGES rows
     numbers, every, some = (np.array([r[k] for r in upper], np.int64) for k in range(3))
     shared = spark.sparkContext.broadcast((numbers, every.view(np.uint64), some.view(np.uint64), most))
