@@ -45,11 +45,11 @@ def spill(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _remove_at_exit(spark, path)
+    remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove_at_exit(spark: SparkSession, path: str) -> None:
+def remove_at_exit(spark: SparkSession, path: str) -> None:
     def remove() -> None:
         context = spark.sparkContext
         if context._jsc is not None and not context._jsc.sc().isStopped():
@@ -60,7 +60,6 @@ def _remove_at_exit(spark: SparkSession, path: str) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -71,7 +70,8 @@ def shuffle_width(spark: SparkSession) -> int:
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
     """Hand rows to Python in batches smaller than Spark's defaults, unless the session has its own numbers.
 
-    Both sides hold a batch whole, the JVM outside its heap.
+    Both sides hold a batch whole, the JVM outside its heap. Operators that use Python call this for the session of their
+    documents, as Spark has no other place for it.
     """
     for name, default, value in (("maxRecordsPerBatch", "10000", str(rows)), ("maxBytesPerBatch", "67108864b", f"{size}b")):
         name = f"spark.sql.execution.arrow.{name}"

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, slices
+from .common import as_text, slices, small_batches
 from .pieces import PieceModel, segments
 
 LIMIT = 4096
@@ -89,6 +89,7 @@ def token_counts(docs: DataFrame, model: str, limit: int = LIMIT) -> DataFrame:
     A null or empty text has 0 bytes and 0 tokens. Rows that repeat are counted each. Other columns
     are left out.
     """
+    small_batches(docs.sparkSession)
     with open(model, "rb") as file:
         raw = file.read()
     kind = docs.schema["doc_id"].dataType.simpleString()

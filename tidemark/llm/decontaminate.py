@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, Shared, as_text, free_name, letter_words, lower_table, run_numbers, slices, spill, squeeze
+from .common import RangeHash, Shared, as_text, free_name, letter_words, lower_table, run_numbers, slices, small_batches, spill, squeeze
 
 WINDOW = 10
 SHINGLE = 5
@@ -141,6 +141,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """(doc_id, tie, n_words) of each row of ``docs`` (doc_id, tie, text), and (doc_id, tie, n_hit, spans, items) where a window is met."""
     spark = docs.sparkSession
+    small_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     items = items.select(F.col("item_id").cast("string").alias("item_id"), as_text().alias("text")).where("text <> ''")
     windows = spill(items.mapInArrow(item_windows(window), "item_id string, window string, size int, token long, offset int"), "windows")

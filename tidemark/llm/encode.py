@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import as_text, lookup, run_numbers, slices
+from .common import as_text, lookup, run_numbers, slices, small_batches
 from .pieces import PieceModel, segments
 
 _NONE = np.iinfo(np.int64).max
@@ -231,6 +231,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     adds. A null or empty text has no ids and decodes to the empty text. Repeated rows each get their ids; other
     columns, whatever their names, are left out. A very long text, with spaces or without, is one step.
     """
+    small_batches(docs.sparkSession)
     with open(model, "rb") as file:
         raw = file.read()
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, as_text, lower_table, slices, space_words, squeeze
+from .common import RangeHash, as_text, lower_table, slices, small_batches, spill, space_words, squeeze
 from .labelled import FIT_ROWS, sample
 
 FREQUENCIES = 384
@@ -174,11 +174,13 @@ def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", most: in
     A null text counts as empty, and an empty one is scored from its statistics, all zero. Fitted on
     at most ``most`` labelled rows; without both labels every score is 0.5.
     """
-    model = fit(sample(docs, labels, label, most).select("doc_id", "y", "text").mapInArrow(_stat_rows, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, x array<double>").persist())
+    small_batches(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    model = fit(spill(sample(docs, labels, label, most).select("doc_id", "y", "text").mapInArrow(_stat_rows, f"doc_id {kind}, y int, x array<double>"), "quality-sample"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in slices(batches):
             score = model.score(statistics(data, offsets)) if model else np.full(batch.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["doc_id", "score"])
 
-    return docs.select("doc_id", as_text().alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return docs.select("doc_id", as_text().alias("text")).mapInArrow(run, f"doc_id {kind}, score double")

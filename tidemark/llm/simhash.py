@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, as_text, free_name, lower_table, run_numbers, shuffle_width, slices, space_words, spill, squeeze
+from .common import Shared, as_text, free_name, lower_table, run_numbers, shuffle_width, slices, small_batches, space_words, spill, squeeze
 from .components import components
 
 MOST_BITS = 2
@@ -283,6 +283,7 @@ def simhash(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
     are left out. A very long text is a step of its own, in memory of some ten times its size.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    small_batches(docs.sparkSession)
     fps = spill(docs.select("doc_id", as_text().alias("text")).mapInArrow(fingerprints, f"doc_id {kind}, fp long"), "simhash")
     distinct = spill(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
     whole = components(near_links(distinct.select("fp"), most))

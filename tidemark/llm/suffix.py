@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import RangeHash, as_text, byte_view, free_name, lookup, mix, run_numbers, shuffle_width, slices, spill
+from .common import RangeHash, as_text, byte_view, free_name, lookup, mix, run_numbers, shuffle_width, slices, small_batches, spill
 
 LENGTH = 100
 #: Bytes of one key that are sorted together.
@@ -386,6 +386,7 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
 
 def with_spans(docs: DataFrame, name: str, length: int = LENGTH) -> DataFrame:
     """``docs`` (text never null) with the column ``name``, the list of (start, size) to remove, null if none."""
+    small_batches(docs.sparkSession)
     named, once, place = keyed(docs)
     lists = repeated_spans(once, place, length).groupBy(F.col("_id").alias(place[0]), F.col("_tie").alias(place[1])).agg(F.collect_list(F.struct("start", "size")).alias(name))
     return named.join(lists, place, "left").select(*[f"`{c}`" for c in docs.columns], name)

@@ -30,7 +30,7 @@ PENALTY = 1e-5
 SMOOTHING = 5
 ASIDE = 4
 #: Parts of the sample of at most FIT_ROWS rows, so of what a step sends to the driver.
-PARTS = 12
+PARTS = 6
 _STEPS, _MEMORY = 25, 6
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -237,6 +237,7 @@ def _score(model: Model) -> Callable:
 
 def with_score(docs: DataFrame, model: Model, name: str) -> DataFrame:
     """``docs`` with the column ``name``, the probability of toxicity; null and empty texts get what no n-gram tells."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{name}` double"
     return docs.mapInArrow(Shared(shared, _score), schema)

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_dir
+from .common import remove_at_exit, scratch_dir
 
 #: Payloads of fewer bytes are never referred to.
 LEAST_BYTES = 0
@@ -45,12 +45,14 @@ def _record_id(page: Column) -> Column:
 
 
 def write(pages: DataFrame, least_bytes: int = LEAST_BYTES, where: str | None = None) -> Archive:
-    """Write the records of ``pages`` (page_id, url, html) under ``where``, or the shared folder.
+    """Write the records of ``pages`` (page_id, url, html) under ``where``, or in the shared folder until the session ends.
 
     A null html is the empty payload, a null url has no header line; line ends in a url are percent-encoded. Rows
     that repeat the response's page_id and payload are responses too, with the payload stored once.
     """
-    where = where or f"{scratch_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    if where is None:
+        where = f"{scratch_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+        remove_at_exit(pages.sparkSession, where)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     full = pages.select("page_id", "url", payload.alias("payload")).withColumn("sha256", F.sha2("payload", 256))
     rows = full.select("page_id", "url", "sha256", F.octet_length("payload").alias("size"), base32_sha1(F.col("payload")).alias("digest"))
