@@ -23,7 +23,7 @@ from .common import Shared, as_text, byte_view, free_name, give_back, mix, slice
 from .labelled import FIT_ROWS, sample
 
 GRAMS = (4, 6, 8)
-BITS = 20
+BITS = 19
 THRESHOLD = 0.7
 PENALTY = 1e-5
 #: Documents added to the counts of both labels, so that a feature met once or twice says little.
@@ -31,7 +31,7 @@ SMOOTHING = 5
 ASIDE = 4
 #: Parts of the sample of at most FIT_ROWS rows, so of what a step sends to the driver.
 PARTS = 6
-_STEPS, _MEMORY = 25, 6
+_STEPS, _MEMORY = 25, 4
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -171,7 +171,7 @@ def minimise(at: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.nda
             break
         moved, turned = -size * q, new_slope - slope
         if moved @ turned > 1e-18:
-            past = [*past[1 - memory :], (moved, turned)]
+            past = [*past[1 - memory :], (moved.astype(np.float32), turned.astype(np.float32))]
         done = loss - new_loss < 5e-4
         w, slope, loss = w + moved, new_slope, new_loss
         if done:
@@ -198,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = FI
     def at(w: np.ndarray) -> tuple[float, np.ndarray]:
         shared = spark.sparkContext.broadcast(((w[:size] * ratio).astype(np.float32), float(w[size]), share))
         got = _summed(packed.mapInArrow(Shared(shared, _slopes), "sums binary"))
-        shared.unpersist()
+        shared.destroy()
         slope = np.r_[got[:size] * ratio + penalty * w[:size], got[size]]
         return got[size + 1] + penalty / 2 * (w[:size] @ w[:size]), slope
 
