@@ -20,7 +20,7 @@ def test_read_floor(spark, events):
         policy = max(policy, i * 3 - 60, 0)
         floor = max(floor, min([policy, *(s for a, s, b in leases if a <= i < b)]))
         want.append((i, floor))
-    assert sorted(map(tuple, catalogue.QUERIES["read_floor_whole"](spark, FOLDER).collect())) == want and len(want) > 500
+    assert sorted(map(tuple, catalogue.QUERIES["read_floor"](spark, FOLDER).collect())) == want and len(want) > 500
 
 
 def test_pending_depth(spark, events):
@@ -30,11 +30,11 @@ def test_pending_depth(spark, events):
         done = max(done, arrival)
         rows.append((arrival, done))
     want = max(sum(b <= a and d > a for b, d in rows) for a, _ in rows)
-    assert catalogue.QUERIES["ticket_pending_depth_whole"](spark, FOLDER).first()["depth"] == want
+    assert catalogue.QUERIES["ticket_pending_depth"](spark, FOLDER).first()["depth"] == want
 
 
 def test_later_rows_are_checked(spark):
-    assert catalogue.QUERIES["delta_lineage_check_whole"](spark, FOLDER).where("after >= 4000").count() > 0
-    assert {r["verdict"] for r in catalogue.QUERIES["snap_certificates_whole"](spark, FOLDER).collect()} == {"Approve", "Retry"}
-    reads = catalogue.QUERIES["serial_read_deps_whole"](spark, FOLDER)
+    assert catalogue.QUERIES["delta_lineage_check"](spark, FOLDER).where("after >= 4000").count() > 0
+    assert {r["verdict"] for r in catalogue.QUERIES["snap_certificates"](spark, FOLDER).collect()} == {"Approve", "Retry"}
+    reads = catalogue.QUERIES["serial_read_deps"](spark, FOLDER)
     assert reads.where("txn % 3 <> 0").count() > 0

@@ -119,15 +119,8 @@ def snap_canonical_rows(spark, folder):
     return snapshot.canonical_rows(_snap(spark, folder))
 
 
-@query("WITH d AS (SELECT o_custkey % 50 AS certificate, o_orderkey % 40 AS resource, o_orderkey % 3 AS token, o_orderkey % 9 AS used FROM orders WHERE o_orderkey % 30 = 0) SELECT certificate, CASE WHEN bool_and(token = resource % 3 AND used <= 6) THEN 'Approve' ELSE 'Retry' END AS verdict FROM d GROUP BY certificate")
-def snap_certificates(spark, folder):
-    needs = D.table(spark, folder, "orders").where("o_orderkey % 30 = 0").selectExpr("o_custkey % 50 AS certificate", "o_orderkey % 40 AS resource", "o_orderkey % 3 AS token", "o_orderkey % 9 AS used")
-    current = spark.range(40).selectExpr("id AS resource", "id % 3 AS current_token", "6 AS most")
-    return snapshot.tokens_hold(needs, current)
-
-
 @query("WITH d AS (SELECT o_custkey % 50 AS certificate, o_orderkey % 40 AS resource, CASE WHEN o_custkey % 50 % 3 = 0 THEN o_orderkey % 40 % 3 ELSE o_orderkey % 3 END AS token, CASE WHEN o_custkey % 50 % 3 = 0 THEN o_orderkey % 7 ELSE o_orderkey % 9 END AS used FROM orders) SELECT certificate, CASE WHEN bool_and(token = resource % 3 AND used <= 6) THEN 'Approve' ELSE 'Retry' END AS verdict FROM d GROUP BY certificate")
-def snap_certificates_whole(spark, folder):
+def snap_certificates(spark, folder):
     needs = D.table(spark, folder, "orders").selectExpr("o_custkey % 50 AS certificate", "o_orderkey % 40 AS resource", "CASE WHEN o_custkey % 50 % 3 = 0 THEN o_orderkey % 40 % 3 ELSE o_orderkey % 3 END AS token", "CASE WHEN o_custkey % 50 % 3 = 0 THEN o_orderkey % 7 ELSE o_orderkey % 9 END AS used")
     current = spark.range(40).selectExpr("id AS resource", "id % 3 AS current_token", "6 AS most")
     return snapshot.tokens_hold(needs, current)
@@ -261,17 +254,11 @@ def objectify_then_read(spark, folder):
 _SEGMENTS = "seg AS (SELECT event_id * 10 + CASE WHEN event_id % 40 = 7 THEN 3 ELSE 0 END AS after, event_id * 10 + 10 AS through, CAST(event_id AS VARCHAR) AS prior_chain, CAST(event_id + CASE WHEN event_id % 31 = 5 THEN 9 ELSE 1 END AS VARCHAR) AS chain FROM events WHERE event_id < 400)"
 
 
-@query(f"WITH {_SEGMENTS} SELECT * FROM (SELECT after, through, CASE WHEN after >= through THEN 'empty' WHEN lag(through) OVER (ORDER BY through) <> after THEN 'not contiguous' WHEN lag(chain) OVER (ORDER BY through) <> prior_chain THEN 'other chain' END AS reason FROM seg) x WHERE reason IS NOT NULL")
-def delta_lineage_check(spark, folder):
-    e = D.table(spark, folder, "events").where("event_id < 400")
-    return compact.lineage_problems(e.selectExpr("event_id * 10 + CASE WHEN event_id % 40 = 7 THEN 3 ELSE 0 END AS after", "event_id * 10 + 10 AS through", "CAST(event_id AS STRING) AS prior_chain", "CAST(event_id + CASE WHEN event_id % 31 = 5 THEN 9 ELSE 1 END AS STRING) AS chain"))
-
-
 _ALL_SEGMENTS = _SEGMENTS.replace(" WHERE event_id < 400", "")
 
 
 @query(f"WITH {_ALL_SEGMENTS} SELECT * FROM (SELECT after, through, CASE WHEN after >= through THEN 'empty' WHEN lag(through) OVER (ORDER BY through) <> after THEN 'not contiguous' WHEN lag(chain) OVER (ORDER BY through) <> prior_chain THEN 'other chain' END AS reason FROM seg) x WHERE reason IS NOT NULL")
-def delta_lineage_check_whole(spark, folder):
+def delta_lineage_check(spark, folder):
     e = D.table(spark, folder, "events")
     return compact.lineage_problems(e.selectExpr("event_id * 10 + CASE WHEN event_id % 40 = 7 THEN 3 ELSE 0 END AS after", "event_id * 10 + 10 AS through", "CAST(event_id AS STRING) AS prior_chain", "CAST(event_id + CASE WHEN event_id % 31 = 5 THEN 9 ELSE 1 END AS STRING) AS chain"))
 
@@ -287,8 +274,10 @@ def _graph(spark, folder):
 
 
 def _checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to the cluster's shared folder; only without one, as in tests, to a temporary one."""
+    """Checkpoints go to the cluster's shared folder; only on one machine, as in tests, to a temporary one."""
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
@@ -315,18 +304,10 @@ def reachable_bytes(spark, folder):
     return compact.bytes_of(*_graph(spark, folder))
 
 
-_LEASES = "front AS (SELECT event_id AS step, event_id * 3 AS frontier FROM events WHERE event_id < 500), lease AS (SELECT event_id AS since, event_id * 2 AS snapshot, event_id + 1 + user_id % 40 AS until FROM events WHERE event_id < 500 AND event_id % 9 = 0), held AS (SELECT step, frontier, min(snapshot) AS held FROM front LEFT JOIN lease ON since <= step AND step < until GROUP BY step, frontier), pol AS (SELECT *, max(greatest(frontier - 60, 0)) OVER (ORDER BY step) AS policy FROM held)"
-
-
-@query(f"WITH {_LEASES} SELECT step, max(least(policy, coalesce(held, policy))) OVER (ORDER BY step) AS floor FROM pol")
-def read_floor(spark, folder):
-    e = D.table(spark, folder, "events").where("event_id < 500")
-    leases = e.where("event_id % 9 = 0").selectExpr("event_id AS step", "event_id * 2 AS snapshot", "event_id + 1 + user_id % 40 AS until")
-    return compact.read_floor(e.selectExpr("event_id AS step", "event_id * 3 AS frontier"), leases, 60)
 
 
 @query()
-def read_floor_whole(spark, folder):
+def read_floor(spark, folder):
     e = D.table(spark, folder, "events")
     leases = e.where("event_id % 9 = 0").selectExpr("event_id AS step", "event_id * 2 AS snapshot", "event_id + 1 + user_id % 40 AS until")
     return compact.read_floor(e.selectExpr("event_id AS step", "event_id * 3 AS frontier"), leases, 60)
@@ -423,37 +404,21 @@ def _tickets(spark, folder):
 _TICKETS = "tk AS (SELECT CASE WHEN event_id % 90 = 8 THEN event_id - 2 ELSE event_id - 1 END AS previous_ticket, event_id AS ticket, event_id - event_id % 10 + (event_id * 3) % 10 AS arrival FROM events WHERE event_id < 2000)"
 
 
-@query(f"WITH {_TICKETS} SELECT ticket, previous_ticket FROM (SELECT *, lag(ticket) OVER (ORDER BY ticket) AS p FROM tk) x WHERE p <> previous_ticket")
-def ticket_order(spark, folder):
-    return txlog.ticket_problems(_tickets(spark, folder))
-
-
-@query(f"WITH {_TICKETS}, d AS (SELECT arrival, max(arrival) OVER (ORDER BY ticket) AS done FROM tk) SELECT max((SELECT count(*) FROM d b WHERE b.arrival <= a.arrival AND b.done > a.arrival)) AS depth FROM d a")
-def ticket_pending_depth(spark, folder):
-    return txlog.pending_depth(_tickets(spark, folder))
-
-
 _ALL_TICKETS = _TICKETS.replace(" WHERE event_id < 2000", "")
 
 
 @query(f"WITH {_ALL_TICKETS} SELECT ticket, previous_ticket FROM (SELECT *, lag(ticket) OVER (ORDER BY ticket) AS p FROM tk) x WHERE p <> previous_ticket")
-def ticket_order_whole(spark, folder):
+def ticket_order(spark, folder):
     return txlog.ticket_problems(_all_tickets(spark, folder))
 
 
 @query()
-def ticket_pending_depth_whole(spark, folder):
+def ticket_pending_depth(spark, folder):
     return txlog.pending_depth(_all_tickets(spark, folder))
 
 
-@query(_TX + " SELECT DISTINCT r.txn, r.k FROM rd r JOIN wr w ON r.k = w.k WHERE r.txn % 3 = 0 AND w.v % 3 = 1 AND w.v > r.read_version AND w.v < r.commit_version")
-def serial_read_deps(spark, folder):
-    reads, writes = _reads_writes(spark, folder)
-    return txlog.read_dependency_problems(reads.where("txn % 3 = 0"), writes.where("v % 3 = 1"))
-
-
 @query(_TX + " SELECT DISTINCT r.txn, r.k FROM rd r JOIN wr w ON r.k = w.k WHERE w.v > r.read_version AND w.v < r.commit_version")
-def serial_read_deps_whole(spark, folder):
+def serial_read_deps(spark, folder):
     return txlog.read_dependency_problems(*_reads_writes(spark, folder))
 
 
@@ -510,23 +475,13 @@ def route_lookup(spark, folder):
     return routing.lookup(D.table(spark, folder, "events").select(F.col("user_id").alias("k")).distinct(), _routes(spark))
 
 
-@query(f"WITH {_ROUTES_SQL} SELECT scan, range_id, greatest(s, \"start\") AS s, least(e, \"end\") AS e FROM scans JOIN routes ON s < \"end\" AND \"start\" < e")
-def route_scan_split(spark, folder):
-    return routing.split(_scans(spark, folder), F.broadcast(_routes(spark)))
-
-
-@query(f"WITH {_ROUTES_SQL} SELECT scan FROM scans WHERE e - s > coalesce((SELECT sum(least(e, \"end\") - greatest(s, \"start\")) FROM routes WHERE s < \"end\" AND \"start\" < e), 0)")
-def route_gaps(spark, folder):
-    return routing.uncovered(_scans(spark, folder), F.broadcast(_routes(spark)))
-
-
 @query(f"WITH {_ALL_ROUTES_SQL} SELECT scan, range_id, greatest(s, \"start\") AS s, least(e, \"end\") AS e FROM scans JOIN routes ON s < \"end\" AND \"start\" < e")
-def route_scan_split_whole(spark, folder):
+def route_scan_split(spark, folder):
     return routing.split(_all_scans(spark, folder), F.broadcast(_routes(spark)))
 
 
 @query(f"WITH {_ALL_ROUTES_SQL} SELECT scan FROM scans WHERE e - s > coalesce((SELECT sum(least(e, \"end\") - greatest(s, \"start\")) FROM routes WHERE s < \"end\" AND \"start\" < e), 0)")
-def route_gaps_whole(spark, folder):
+def route_gaps(spark, folder):
     return routing.uncovered(_all_scans(spark, folder), F.broadcast(_routes(spark)))
 
 
