@@ -26,6 +26,11 @@ def with_previous(df: DataFrame, order: str, columns: list[str], width: int = WI
     return rows.withColumn("_inside", inside).join(carried, "_stretch").withColumn("previous", F.coalesce("_inside", "_carried")).drop("_stretch", "_inside", "_carried")
 
 
+def unsorted(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
+    """Rows (order, columns) that are less than the row before in ``order``: input that is not sorted by ``columns``."""
+    return with_previous(df, order, columns).where(F.col("previous") > F.struct(*columns)).select(order, *columns)
+
+
 def filled_forward(df: DataFrame, order: str, then: str, column: str, width: int = WIDTH) -> DataFrame:
     """``df`` with ``column`` replaced by its last value that is not null, up to each row, by (order, then)."""
     rows = _stretched(df, order, width)

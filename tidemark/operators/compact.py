@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import itertools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordered import running, with_previous
@@ -30,6 +32,19 @@ def retention_counts(points: DataFrame, floor: int) -> DataFrame:
     return _classed(points, floor).agg(F.count("*").alias("inspected"), fate("kept_newer").alias("kept_newer"), fate("floor_anchor").alias("floor_anchors"), fate("dropped").alias("dropped"))
 
 
+def retention_stats(entries: DataFrame, floor: int, metadata: Column) -> DataFrame:
+    """One row of six counters over stored entries (k, v, op): those of ``retention_counts``, metadata and malformed.
+
+    Entries under ``metadata`` are kept as they are and not inspected. Malformed ones have no key, no version or
+    an unknown op; a compaction that finds one must not go on.
+    """
+    broken = F.col("k").isNull() | F.col("v").isNull() | ~F.coalesce(F.col("op").isin("SET", "CLEAR"), F.lit(False))
+    kind = F.when(F.coalesce(metadata, F.lit(False)), "metadata").when(broken, "malformed").otherwise("user")
+    marked = entries.withColumn("kind", kind)
+    aside = marked.agg(F.count_if(F.col("kind") == "metadata").alias("metadata"), F.count_if(F.col("kind") == "malformed").alias("malformed"))
+    return retention_counts(marked.where("kind = 'user'"), floor).crossJoin(aside)  # one row each
+
+
 def amplification(stored: DataFrame, live: DataFrame) -> DataFrame:
     """One row: stored and live entries, and their ratio (0 without live ones)."""
     return stored.agg(F.count("*").alias("stored")).crossJoin(live.agg(F.count("*").alias("live"))).withColumn("amplification", ratio(F.col("stored"), F.col("live")))
@@ -59,19 +74,18 @@ def segment_ends(rows: DataFrame, through: int) -> bool:
     return rows.agg(F.max("commit_version")).first()[0] == through
 
 
-def reachable(roots: DataFrame, edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def reachable(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, depth) of objects reachable from roots (id) over edges (parent, child), with their least depth.
 
     Only the newest ring of objects is joined in a round, and each ring is cut from its lineage, so a long
     or cyclic graph keeps small plans.
     """
     seen = ring = roots.select("id").distinct().withColumn("depth", F.lit(0)).checkpoint()
-    for depth in range(1, most_rounds):
+    for depth in itertools.count(1):
         ring = ring.join(edges, F.col("id") == F.col("parent")).select(F.col("child").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
         if ring.isEmpty():
             return seen
         seen = seen.unionByName(ring)
-    raise RuntimeError("the graph is deeper than allowed")
 
 
 def incomplete(marked: DataFrame, objects: DataFrame) -> DataFrame:

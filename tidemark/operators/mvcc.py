@@ -31,6 +31,26 @@ def latest_clear_by_key(log: DataFrame, at: int | Column) -> DataFrame:
     return clears(log).where(F.col("v") <= at).select("v", F.explode(F.sequence("s", F.col("e") - 1)).alias("k")).groupBy("k").agg(F.max("v").alias("cleared_at"))
 
 
+def inside(log: DataFrame, start: int | None, end: int | None) -> DataFrame:
+    """What of the log can change keys in [start, end): its points there, and its range clears cut to it."""
+    point, out = F.col("op") != "CLEAR_RANGE", log
+    if start is not None:
+        out = out.where((point & (F.col("k") >= start)) | (~point & (F.col("e") > start))).withColumn("s", F.greatest("s", F.lit(start)))
+    if end is not None:
+        out = out.where((point & (F.col("k") < end)) | (~point & (F.col("s") < end))).withColumn("e", F.least("e", F.lit(end)))
+    return out
+
+
+def with_prefix(rows: DataFrame, column: str, prefix: str) -> DataFrame:
+    """Rows whose key lies in the namespace ``prefix``; a literal prefix goes down to the scan."""
+    return rows.where(F.col(column).startswith(prefix))
+
+
+def meeting_prefix(rows: DataFrame, column: str, prefix: str) -> DataFrame:
+    """Rows whose namespace has keys in common with ``prefix``: one of both begins with the other."""
+    return rows.where(F.col(column).startswith(prefix) | F.lit(prefix).startswith(F.col(column)))
+
+
 def covered_by(keys: DataFrame, ranges: DataFrame, at: int | Column) -> DataFrame:
     """(k, cleared_at) for numeric keys and ranges of any width: the newest range (v, s, e) at ``at`` over each key.
 
@@ -53,12 +73,8 @@ def scan(log: DataFrame, at: int, start: int | None = None, end: int | None = No
     """
     if start is not None and end is not None and start >= end:
         raise ValueError("an empty range")
-    inside = log
-    if start is not None:
-        inside = inside.where((F.col("op") == "CLEAR_RANGE") | (F.col("k") >= start))
-    if end is not None:
-        inside = inside.where((F.col("op") == "CLEAR_RANGE") | (F.col("k") < end))
-    newest = latest_points(inside, at).where("op = 'SET'")
+    log = inside(log, start, end)
+    newest = latest_points(log, at).where("op = 'SET'")
     out = newest.join(latest_clear_by_key(log, at), "k", "left").where("cleared_at is null or v >= cleared_at").select("k", "v", "val")
     if limit is not None:
         out = out.orderBy(F.col("k").desc() if reverse else F.col("k")).limit(limit)
@@ -69,6 +85,26 @@ def get(log: DataFrame, key: int, at: int) -> DataFrame:
     return scan(log, at, key, key + 1)
 
 
+def view_scan(base: DataFrame, tail: DataFrame, covered: int, at: int, start: int | None = None, end: int | None = None, limit: int | None = None, reverse: bool = False) -> DataFrame:
+    """``scan`` over a base, complete through version ``covered``, and the tail of changes after it.
+
+    The base is read at min(at, covered). A key that the tail sets or clears in (covered, at] is the tail's
+    alone; what else the tail may hold, at or below ``covered``, does not count.
+    """
+    below = scan(base, min(at, covered), start, end)
+    if at > covered:
+        newer = inside(tail.where(F.col("v") > covered), start, end)
+        touched = latest_points(newer, at).select("k").unionByName(latest_clear_by_key(newer, at).select("k"))
+        below = below.join(touched, "k", "left_anti").unionByName(scan(newer, at))
+    if limit is not None:
+        below = below.orderBy(F.col("k").desc() if reverse else F.col("k")).limit(limit)
+    return below
+
+
+def view_get(base: DataFrame, tail: DataFrame, covered: int, key: int, at: int) -> DataFrame:
+    return view_scan(base, tail, covered, at, key, key + 1)
+
+
 def get_many(log: DataFrame, wanted: DataFrame) -> DataFrame:
     """(k, at, val) for each wanted (k, at): val is null where nothing is visible.
 

@@ -182,3 +182,16 @@ def history_digest(rows: DataFrame, keys: list[str], order: str, text: str) -> D
     """SHA-256 over each group's texts in order; groups are expected to be small, such as a batch."""
     items = F.sort_array(F.collect_list(F.struct(order, text)))
     return rows.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(items, lambda x: x[text]), "\n"), 256).alias("digest"))
+
+
+def causal_reads(commits: DataFrame, requests: DataFrame) -> DataFrame:
+    """(request, read_version, status) of requests (request, step, minimum) after commits (step, commit_version).
+
+    A request reads at the newest version committed up to its step, 0 without one; it is Behind, and has to
+    try again, where that is below the minimum that its client has seen.
+    """
+    marks = commits.select((F.col("step") * 2).alias("_at"), "commit_version", F.lit(None).cast("long").alias("request"), F.lit(None).cast("long").alias("minimum"))
+    asks = requests.select((F.col("step") * 2 + 1).alias("_at"), F.lit(None).cast("long").alias("commit_version"), "request", "minimum")
+    read = running(marks.unionByName(asks), "_at", "newest", F.max, F.col("commit_version")).where("request is not null")
+    version = F.coalesce("newest", F.lit(0))
+    return read.select("request", version.alias("read_version"), F.when(version >= F.col("minimum"), "Ok").otherwise("Behind").alias("status"))

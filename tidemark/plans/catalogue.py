@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import codecs, stats
-from ..operators import authority, compact, mvcc, pages, routing, snapshot, txlog
+from ..functions import codecs, ordered, stats
+from ..operators import authority, compact, mvcc, pages, routing, sets, snapshot, txlog
 from ..sources import derived as D
 from ..streaming import windows
 from .front import sql as run_sql
@@ -126,6 +126,28 @@ def snap_certificates(spark, folder):
     return snapshot.tokens_hold(needs, current)
 
 
+_BOTH = f"{_SNAP}, {D.accounts_sql('accounts', T)} "
+_JOINED = "SELECT s.status, a.status AS account_status, count(*) AS n, CAST(sum(a.amount_cents) AS BIGINT) AS balance FROM {snap} s JOIN {orders} ON s.id = o_orderkey JOIN {accounts} a ON o_custkey = a.id GROUP BY s.status, a.status"
+
+
+@query(_BOTH + _JOINED.replace("{", "").replace("}", ""))
+def snap_join_two_watermarks(spark, folder):
+    """Two versioned tables, each from its own watermark, at one version."""
+    accounts = snapshot.overlay(D.accounts_base(spark, folder), D.accounts_tail(spark, folder), T, D.ACCOUNTS_LOWER)
+    return run_sql(spark, _JOINED, {"snap": _snap(spark, folder), "accounts": accounts, "orders": D.table(spark, folder, "orders")})
+
+
+@query(f"WITH {D.SNAPSHOT_SQL}, {D.snapshot_sql('a', 8)}, {D.snapshot_sql('b', T)}, n AS (SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) x) AS left_only, (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) y) AS right_only) SELECT left_only + right_only = 0 AS same, left_only, right_only FROM n")
+def snap_multiset_compare(spark, folder):
+    return sets.same_multisets(_snap(spark, folder, 8), _snap(spark, folder, T))
+
+
+@query("SELECT event_id, id, version FROM (SELECT *, lag(id) OVER (ORDER BY event_id) AS i, lag(version) OVER (ORDER BY event_id) AS w FROM (SELECT event_id, event_id // 10 - CASE WHEN event_id % 370 = 0 THEN 3 ELSE 0 END AS id, CASE WHEN event_id % 41 = 0 THEN 0 ELSE event_id % 10 END AS version FROM events) x) y WHERE i > id OR (i = id AND w > version)")
+def input_order_check(spark, folder):
+    rows = D.table(spark, folder, "events").selectExpr("event_id", "event_id div 10 - CASE WHEN event_id % 370 = 0 THEN 3 ELSE 0 END AS id", "CASE WHEN event_id % 41 = 0 THEN 0 ELSE event_id % 10 END AS version")
+    return ordered.unsorted(rows, "event_id", ["id", "version"])
+
+
 # --- multi-version reads --------------------------------------------------------------------
 
 _LOG = f"WITH {D.LOG_SQL}"
@@ -137,9 +159,9 @@ def kv_scan_range_clears(spark, folder):
     return mvcc.scan(D.log(spark, folder), _AT)
 
 
-@query(f"{_LOG}, {D.visible_sql('vis', str(_AT))} SELECT k, v, val FROM vis WHERE k = 7")
+@query(f"{_LOG}, {D.visible_sql('vis', str(_AT))} SELECT k, v, val FROM vis WHERE k = 9")
 def kv_get_at_t(spark, folder):
-    return mvcc.get(D.log(spark, folder), 7, _AT)
+    return mvcc.get(D.log(spark, folder), 9, _AT)
 
 
 @query(f"{_LOG}, {D.visible_sql('vis', str(_AT))} SELECT k, v, val FROM vis WHERE k >= 10 AND k < 90")
@@ -147,6 +169,37 @@ def kv_scan_range_at_t(spark, folder):
     return mvcc.scan(D.log(spark, folder), _AT, 10, 90)
 
 
+_COVERED = 400
+
+
+@query(f"{_LOG}, {D.visible_sql('vis', str(_AT))} SELECT k, v, val FROM vis")
+def kv_view_scan(spark, folder):
+    log = D.log(spark, folder)
+    return mvcc.view_scan(log.where(F.col("v") <= _COVERED), log, _COVERED, _AT)
+
+
+@query(f"{_LOG}, {D.visible_sql('vis', str(_AT))} SELECT k, v, val FROM vis WHERE k >= 3 AND k < 120 ORDER BY k LIMIT 20")
+def kv_view_scan_limit(spark, folder):
+    log = D.log(spark, folder)
+    return mvcc.view_scan(log.where(F.col("v") <= _COVERED), log, _COVERED, _AT, 3, 120, 20)
+
+
+@query(f"{_LOG}, {D.visible_sql('vis', str(_AT))} SELECT k, v, val FROM vis WHERE k = 9")
+def kv_view_get(spark, folder):
+    log = D.log(spark, folder)
+    return mvcc.view_get(log.where(F.col("v") <= _COVERED), log, _COVERED, 9, _AT)
+
+
+@query("SELECT c_custkey FROM customer WHERE starts_with(c_name, 'Customer#00000001')")
+def prefix_scan(spark, folder):
+    return mvcc.with_prefix(D.table(spark, folder, "customer"), "c_name", "Customer#00000001").select("c_custkey")
+
+
+@query("SELECT k FROM (SELECT CAST(c_custkey AS VARCHAR) AS k FROM customer) x WHERE starts_with(k, '12') OR starts_with('12', k)")
+def prefix_overlap(spark, folder):
+    return mvcc.meeting_prefix(D.table(spark, folder, "customer").select(F.col("c_custkey").cast("string").alias("k")), "k", "12")
+
+
 @query(f"{_LOG}, {D.visible_sql('vis', str(_AT))} SELECT k, v, val FROM vis WHERE k >= 10 ORDER BY k LIMIT 20")
 def kv_scan_limit(spark, folder):
     return mvcc.scan(D.log(spark, folder), _AT, 10, limit=20)
@@ -238,6 +291,15 @@ def gc_stats_counters(spark, folder):
     return compact.retention_counts(mvcc.points(D.log(spark, folder)), _FLOOR)
 
 
+_ENTRIES = "CASE WHEN v % 53 = 0 THEN NULL ELSE k END AS k, v, CASE WHEN v % 59 = 0 THEN 'OTHER' ELSE op END AS op, v % 13 = 0 AS meta"
+
+
+@query(f"{_LOG}, entries AS (SELECT {_ENTRIES} FROM log WHERE op <> 'CLEAR_RANGE'), kinds AS (SELECT *, CASE WHEN meta THEN 'metadata' WHEN k IS NULL OR op = 'OTHER' THEN 'malformed' ELSE 'user' END AS kind FROM entries), ranked AS (SELECT *, row_number() OVER (PARTITION BY kind, k, v <= {_FLOOR} ORDER BY v DESC) AS rn FROM kinds) SELECT count(*) FILTER (kind = 'user') AS inspected, count(*) FILTER (kind = 'user' AND v > {_FLOOR}) AS kept_newer, count(*) FILTER (kind = 'user' AND v <= {_FLOOR} AND rn = 1) AS floor_anchors, count(*) FILTER (kind = 'user' AND v <= {_FLOOR} AND rn > 1) AS dropped, count(*) FILTER (kind = 'metadata') AS metadata, count(*) FILTER (kind = 'malformed') AS malformed FROM ranked")
+def gc_stats_six_counters(spark, folder):
+    entries = mvcc.points(D.log(spark, folder)).selectExpr("CASE WHEN v % 53 = 0 THEN NULL ELSE k END AS k", "v", "CASE WHEN v % 59 = 0 THEN 'OTHER' ELSE op END AS op", "v % 13 = 0 AS meta")
+    return compact.retention_stats(entries, _FLOOR, F.col("meta"))
+
+
 @query(_FATES + " SELECT (SELECT count(*) FROM fates) AS stored, (SELECT count(*) FROM fates WHERE fate <> 'dropped') AS live, (SELECT count(*) FROM fates) / (SELECT count(*) FROM fates WHERE fate <> 'dropped') AS amplification")
 def gc_amplification(spark, folder):
     points = mvcc.points(D.log(spark, folder))
@@ -449,6 +511,20 @@ def authority_fold(spark, folder):
     return authority.fold(e)
 
 
+@query("WITH l AS (SELECT DISTINCT user_id AS g, event_type AS m FROM events WHERE event_id % 3 <> 0), r AS (SELECT DISTINCT user_id AS g, event_type AS m FROM events WHERE event_id % 3 <> 1), b AS (SELECT coalesce(l.g, r.g) AS g, l.m IS NOT NULL AS a, r.m IS NOT NULL AS b FROM l FULL JOIN r ON l.g = r.g AND l.m = r.m) SELECT g AS user_id, bool_and(a = b) AS same, bool_and(b OR NOT a) AS inside FROM b GROUP BY g")
+def set_compare(spark, folder):
+    """Each user's event types in two overlapping logs."""
+    e = D.table(spark, folder, "events").select("event_id", "user_id", "event_type")
+    return sets.same_sets(e.where("event_id % 3 <> 0"), e.where("event_id % 3 <> 1"), "user_id", "event_type")
+
+
+@query("SELECT event_id AS request, coalesce(newest, 0) AS read_version, CASE WHEN coalesce(newest, 0) >= event_id - 6 THEN 'Ok' ELSE 'Behind' END AS status FROM (SELECT *, max(CASE WHEN event_type <> 'click' THEN event_id - event_id % 7 END) OVER (ORDER BY event_id) AS newest FROM events) x WHERE event_type = 'click'")
+def causal_read_version(spark, folder):
+    e = D.table(spark, folder, "events")
+    commits = e.where("event_type <> 'click'").selectExpr("event_id AS step", "event_id - event_id % 7 AS commit_version")
+    return txlog.causal_reads(commits, e.where("event_type = 'click'").selectExpr("event_id AS request", "event_id AS step", "event_id - 6 AS minimum"))
+
+
 # --- routes ---------------------------------------------------------------------------------
 
 _ROUTES = [(1, 0, 40), (2, 40, 75), (3, 80, 120), (4, 120, 140)]
@@ -585,7 +661,7 @@ _BREADTH = {
     "sql_left_join": "SELECT c_custkey, count(o_orderkey) AS n FROM {customer} LEFT JOIN {orders} ON c_custkey = o_custkey GROUP BY c_custkey",
     "sql_full_join": "SELECT coalesce(a.k, b.k) AS k, a.n AS customers, b.n AS suppliers FROM (SELECT c_custkey AS k, count(*) AS n FROM {customer} GROUP BY 1) a FULL OUTER JOIN (SELECT s_suppkey * 7 AS k, count(*) AS n FROM {supplier} GROUP BY 1) b ON a.k = b.k",
     "sql_semi_join": "SELECT p_partkey FROM {part} WHERE EXISTS (SELECT 1 FROM {lineitem} WHERE l_partkey = p_partkey AND l_quantity > 45)",
-    "sql_anti_join": "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey)",
+    "sql_anti_join": "SELECT p_partkey FROM {part} WHERE NOT EXISTS (SELECT 1 FROM {lineitem} WHERE l_partkey = p_partkey AND l_quantity > 47)",
     "sql_cross_join": "SELECT r_name, n_name FROM {region} CROSS JOIN {nation}",
     "sql_range_join": "SELECT n_nationkey, count(*) AS n FROM {nation} JOIN {supplier} ON s_suppkey >= n_nationkey AND s_suppkey < n_nationkey + 3 GROUP BY n_nationkey",
     "sql_grouping_sets": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM {lineitem} GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())",
@@ -598,7 +674,7 @@ _BREADTH = {
     "sql_frame_range": "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey RANGE BETWEEN 1000 PRECEDING AND 1000 FOLLOWING) AS n FROM {orders}",
     "sql_union": "SELECT c_nationkey AS k FROM {customer} UNION SELECT s_nationkey AS k FROM {supplier}",
     "sql_intersect": "SELECT c_custkey AS k FROM {customer} INTERSECT SELECT s_suppkey AS k FROM {supplier}",
-    "sql_except": "SELECT p_partkey AS k FROM {part} EXCEPT SELECT l_partkey AS k FROM {lineitem} WHERE l_quantity > 10",
+    "sql_except": "SELECT p_partkey AS k FROM {part} EXCEPT SELECT l_partkey AS k FROM {lineitem} WHERE l_quantity > 47",
     "sql_topk": "SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM {orders} ORDER BY cents DESC, o_orderkey LIMIT 25",
     "sql_string": "SELECT c_custkey, upper(c_name) AS u, CAST(length(c_name) AS BIGINT) AS n, substring(c_name, 1, 4) AS head, replace(c_mktsegment, 'A', '*') AS seg, concat(c_name, '-', c_mktsegment) AS both FROM {customer}",
     "sql_date": "SELECT o_orderkey, CAST(extract(YEAR FROM o_orderdate) AS BIGINT) AS y, CAST(extract(MONTH FROM o_orderdate) AS BIGINT) AS m, CAST(extract(DAY FROM o_orderdate) AS BIGINT) AS d FROM {orders}",

@@ -48,6 +48,30 @@ def tail(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+ACCOUNTS_LOWER = 7
+
+
+def accounts_base(spark: SparkSession, folder: str) -> DataFrame:
+    """A second table with a watermark of its own."""
+    c = table(spark, folder, "customer").where("c_custkey % 6 <> 1")
+    return c.select(F.col("c_custkey").alias("id"), F.lit("OPEN").alias("status"), _side(F.col("c_nationkey")).alias("part"), F.round(F.col("c_acctbal") * 100).cast("long").alias("amount_cents"), F.lit(0).alias("priority"), F.lit(2).alias("writer_schema"), F.lit(ACCOUNTS_LOWER).alias("base_watermark"))
+
+
+def accounts_tail(spark: SparkSession, folder: str) -> DataFrame:
+    """One change of each account that is new or a fifth of the others."""
+    c, key = table(spark, folder, "customer").where("c_custkey % 6 = 1 or c_custkey % 5 = 0"), F.col("c_custkey")
+    operation = F.when(key % 6 == 1, "INSERT").when(key % 10 == 0, "DELETE").otherwise("UPDATE")
+    return c.select(key.alias("id"), (8 + key % 7).alias("commit_version"), operation.alias("operation"), F.lit("CLOSED").alias("status"), _side(F.col("c_nationkey")).alias("part"), (F.round(F.col("c_acctbal") * 100).cast("long") + 1).alias("amount_cents"), F.lit(1).alias("priority"), F.lit(2).alias("writer_schema"))
+
+
+def accounts_sql(name: str, target: int) -> str:
+    """A common table expression ``name``: the accounts at ``target``."""
+    return f"""{name} AS (
+  SELECT c_custkey AS id, CASE WHEN changed THEN 'CLOSED' ELSE 'OPEN' END AS status, CAST(round(c_acctbal * 100) AS BIGINT) + CASE WHEN changed THEN 1 ELSE 0 END AS amount_cents
+  FROM (SELECT *, (c_custkey % 6 = 1 OR c_custkey % 5 = 0) AND 8 + c_custkey % 7 <= {target} AS changed FROM customer) c
+  WHERE CASE WHEN changed THEN c_custkey % 6 = 1 OR c_custkey % 10 <> 0 ELSE c_custkey % 6 <> 1 END)"""
+
+
 SNAPSHOT_SQL = """
 base AS (
   SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'CLOSED' ELSE 'OPEN' END AS status,

@@ -70,6 +70,14 @@ class Manifest:
             raise SnapshotUnavailable(f"no segment covers ({reached}, {target}]")
         return found
 
+    def retain_from(self, floor: int) -> Manifest:
+        """This manifest with its floor advanced; ``store`` with the epoch read makes it visible. Never beyond what is available, never back."""
+        if floor > self.available:
+            raise ValueError(f"version {floor} is ahead of {self.available}")
+        if floor < self.floor:
+            raise ValueError(f"the floor is {self.floor} already")
+        return replace(self, floor=floor)
+
     def base(self, spark: SparkSession) -> DataFrame:
         return spark.read.schema(BASE_V1).parquet(*self.base_files)
 
