@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import running, with_previous
+from ..functions.ordered import least_alive, running, with_previous
 from ..functions.stats import ratio
 
 
@@ -108,7 +108,10 @@ def read_floor(frontiers: DataFrame, leases: DataFrame, retained_window: int) ->
     """(step, floor): the oldest readable version after each step (step, frontier); never goes back.
 
     Policy is frontier - window; a lease (step, snapshot, until) that lives holds the floor at its snapshot.
+    Steps and versions are integers; of rows that repeat a step the highest frontier counts.
     """
-    held = frontiers.join(leases.select(F.col("step").alias("since"), "snapshot", "until"), (F.col("since") <= F.col("step")) & (F.col("step") < F.col("until")), "left").groupBy("step").agg(F.first("frontier").alias("frontier"), F.min("snapshot").alias("held"))
+    steps = frontiers.groupBy("step").agg(F.max("frontier").alias("frontier"))
+    alive = least_alive(steps.select(F.col("step").alias("at")), leases.select(F.col("step").alias("since"), "until", F.col("snapshot").alias("value")))
+    held = steps.join(alive.select(F.col("at").alias("step"), F.col("least").alias("held")), "step")
     policy = running(held, "step", "policy", F.max, F.greatest(F.col("frontier") - retained_window, F.lit(0)))
     return running(policy, "step", "floor", F.max, F.least("policy", F.coalesce("held", "policy"))).select("step", "floor")
