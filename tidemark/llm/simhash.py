@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, as_text, free_name, lower_table, run_numbers, shuffle_width, slices, small_batches, space_words, spill, squeeze
+from .common import Shared, as_text, free_name, lower_table, mix, run_numbers, shuffle_width, slices, small_batches, space_words, spill, squeeze
 from .components import components
 
 MOST_BITS = 2
@@ -58,6 +58,24 @@ def _majority(hashes: np.ndarray, many: np.ndarray, step: int = 1 << 16) -> np.n
     return np.packbits(2 * totals > many[:, None], axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
 
 
+def wide_fingerprints(hashes: np.ndarray, many: np.ndarray, words: int) -> np.ndarray:
+    """Per document the majority bits of ``words`` independent 64-bit hashes of its features, as 0/1 bytes.
+
+    ``hashes`` lie one document after the other, ``many`` (1 at least) of each. Eight bits are counted in
+    one addition, in runs of at most 255 features.
+    """
+    place = run_numbers(many)
+    runs = np.flatnonzero(place % 255 == 0)
+    own = np.searchsorted(runs, np.cumsum(many) - many)
+    out = np.empty((len(many), words, 8, 8), np.uint8)
+    for word in range(words):
+        x = mix(mix(hashes + np.uint64(word + 1)) + np.uint64(word + 1))
+        for k in range(8):
+            part = np.add.reduceat((x >> np.uint64(k)) & np.uint64(0x0101010101010101), runs).view(np.uint8).reshape(-1, 8)
+            out[:, word, k] = 2 * np.add.reduceat(part, own, axis=0, dtype=np.int64) > many[:, None]
+    return out.reshape(len(many), words * 64)
+
+
 # --- the index ------------------------------------------------------------------------------
 
 
